@@ -16,6 +16,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: Separates runs of ASCII letters and digits and of all other characters.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _pow = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -73,12 +76,12 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word [^\\x20\\x09-\\x0D]+; words don't cross rows."""
+def words(buf: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word, [^\\x20\\x09-\\x0D]+ by default; words don't cross rows."""
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~_SPACE[buf]
+    inside = ~space[buf]
     first = np.zeros(len(buf) + 1, bool)
     first[offs[offs <= len(buf)]] = True
     begins = inside.copy()
