@@ -5,9 +5,9 @@ follows a path of minwise tokens (the smallest shingle under one hash function a
 that a node of the tree holds vertices which agree in all tokens of its path. A node of at most
 `node_size` vertices is compared exhaustively; a larger one branches by its next token. A node that is
 still large at the last level is a crowd of vertices that all look alike: there each vertex is
-compared with pivots of the node and with its neighbours in signature order, and vertices which those
-leave outside the node's main component are compared with the whole node, block by block. Every link
-is confirmed on the full shingle sets. A pair of similarity s misses one tree, at level d, with
+compared with pivots from the middle of the crowd; what is outside the pivots' components is a new,
+smaller crowd with pivots of its own, and what is outside at last is held against its whole nodes in
+blocks. Every link is confirmed on the full shingle sets. A pair of similarity s misses one tree, at level d, with
 probability 1 - s**d, and all t trees with (1 - s**d)**t.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -26,6 +26,9 @@ from .io import Stored, as_text, small_batches, table
 
 #: Minwise tokens in a signature, independent trees, levels of a tree.
 WIDTH, TREES, DEPTH = 96, 16, 5
+#: Rounds in which what a crowd's pivots leave outside is taken up again; in the last, each vertex outside
+#: is held against all of its nodes, in blocks of so many vertices, and tried with so many likeliest partners.
+ROUNDS, BLOCK, PARTNERS = 3, 4096, 48
 #: Vertices of a node that are compared exhaustively, and share of equal tokens below which a pair is not confirmed.
 NODE_SIZE, SLACK = 24, 0.17
 _U = np.uint64
@@ -183,42 +186,101 @@ def _links(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, words
     found = store.keep(likely(pairs))
     # first what ties each vertex to its likeliest partners, then only pairs that this left apart
     best = found.select(F.col("b").alias("x"), "a", "b", "est").unionByName(found.select(F.col("a").alias("x"), "a", "b", "est")).groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("m"), F.min(F.struct("a", "b")).alias("l"))
-    first = best.select("m.a", "m.b").unionByName(best.select("l.a", "l.b"))
+    todo = best.select("m.a", "m.b").unionByName(best.select("l.a", "l.b"))
     if not crowd.isEmpty():
-        first = first.unionByName(likely(_crowd_pairs(crowd, vertices)).select("a", "b"))
-    first = store.keep(first.distinct())
-    links = store.keep(_confirmed(store, docs, first, kind, words, percent))
-    for _ in range(2):
+        crowd = store.keep(crowd.join(crowd.groupBy("rep").agg(F.count("*").alias("degree")), "rep"))
+        whole, pivots = crowd, store.keep(_pivots(crowd))
+        todo = todo.unionByName(likely(_with_pivots(crowd, pivots)).select("a", "b"))
+    tried = todo = store.keep(todo.distinct())
+    links = store.keep(_confirmed(store, docs, todo, kind, words, percent))
+    for last in (*[False] * (ROUNDS - 1), True):
         label = store.keep(components(store, links))
         ca, cb = (label.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-
-        def apart(df: DataFrame, ca=ca, cb=cb) -> DataFrame:
-            return df.join(ca, "a", "left").join(cb, "b", "left").filter(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
-
-        rest = apart(found.select("a", "b").join(first, ["a", "b"], "left_anti"))
+        apart = found.select("a", "b").join(tried, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
+        todo = apart.filter(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
         if not crowd.isEmpty():
-            rest = rest.unionByName(likely(_outside(crowd, label)).select("a", "b").join(first, ["a", "b"], "left_anti"))
-        rest = store.keep(rest.distinct())
-        if rest.isEmpty():
+            crowd = store.keep(_outside(crowd, pivots, label))
+            if last:
+                new = _likeliest(crowd, whole, label, vertices, kind, percent / 100)
+            else:
+                pivots = store.keep(_pivots(crowd))
+                new = likely(_with_pivots(crowd, pivots).join(tried, ["a", "b"], "left_anti")).select("a", "b")
+            todo = todo.unionByName(new.join(tried, ["a", "b"], "left_anti"))
+        todo = store.keep(todo.distinct())
+        if last and todo.isEmpty():
             break
-        links = store.keep(links.unionByName(_confirmed(store, docs, rest, kind, words, percent)).distinct())
-        first = store.keep(first.unionByName(rest))
+        links = store.keep(links.unionByName(_confirmed(store, docs, todo, kind, words, percent)).distinct())
+        tried = store.keep(tried.unionByName(todo))
     return links
 
 
-def _crowd_pairs(crowd: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Each vertex of a crowded node with four of the node's vertices, chosen by hash."""
-    picks = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"p{k}") for k in range(4)]
-    pivots = crowd.groupBy("node").agg(*picks).select("node", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.rep") for k in range(4))))).alias("p"))
+def _pivots(crowd: DataFrame) -> DataFrame:
+    """(node, p): up to four vertices of each node, of those that are in most crowded nodes: they carry the
+    most frequent tokens, so they stand in the middle of what looks alike. All vertices of a small node."""
+    picks = [F.max(F.struct("degree", F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"p{k}") for k in range(4)]
+    chosen = crowd.groupBy("node").agg(F.count("*").alias("size"), *picks)
+    some = chosen.select("node", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.rep") for k in range(4))))).alias("p"))
+    small = chosen.filter(F.col("size") <= NODE_SIZE).select("node")
+    return some.unionByName(crowd.join(small, "node", "left_semi").select("node", F.col("rep").alias("p"))).distinct()
+
+
+def _with_pivots(crowd: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Each vertex of a node with the node's pivots."""
     return crowd.join(pivots, "node").filter("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
-def _outside(crowd: DataFrame, label: DataFrame) -> DataFrame:
-    """Vertices outside the most frequent component of their node, against the others of the node."""
-    of = crowd.join(label, crowd.rep == label.v, "left").select("node", "rep", F.coalesce("c", "rep").alias("c"))
-    main = of.groupBy("node", "c").count().groupBy("node").agg(F.max(F.struct("count", "c")).alias("m")).select("node", F.col("m.c").alias("main"))
-    out = of.join(main, "node").filter("c <> main").select("node", F.col("rep").alias("x"), F.col("c").alias("cx"))
-    return out.join(of.select("node", F.col("rep").alias("y"), F.col("c").alias("cy")), "node").filter("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _outside(crowd: DataFrame, pivots: DataFrame, label: DataFrame) -> DataFrame:
+    """The vertices of each node that are in no component of its pivots."""
+    of = lambda df, x: df.join(label, df[x] == label["v"], "left").withColumn("c", F.coalesce("c", x)).drop("v")
+    done = of(pivots, "p").select("node", "c").distinct()
+    return of(crowd, "rep").join(done, ["node", "c"], "left_anti").select("rep", "node", "degree")
+
+
+def _likeliest(outside: DataFrame, crowd: DataFrame, label: DataFrame, vertices: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(a, b): each vertex outside with its likeliest partners of other components in its nodes."""
+    blocks = crowd.groupBy("node").agg(F.floor(F.count("*") / BLOCK + 1).alias("blocks")).join(outside.select("node").distinct(), "node", "left_semi")
+    sig = vertices.join(label, vertices["rep"] == label["v"], "left").select("rep", "sig", F.coalesce("c", "rep").alias("c"))
+    x = outside.select("node", "rep").join(blocks, "node").select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"))
+    y = crowd.select("node", "rep").join(blocks, "node").select("node", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("asks"))
+    rows = x.unionByName(y).join(sig, "rep").repartition("node", "block").sortWithinPartitions("node", "block", "asks")
+    near = rows.select("node", "block", "asks", "rep", "c", "sig").mapInArrow(_partners(threshold), f"x {kind}, y {kind}, est int").distinct()
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("est"), "y"))).filter(F.col("nth") <= PARTNERS)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _partners(threshold: float):
+    """Of the rows of a block, those that ask (they come last) with the likeliest others."""
+    least = (threshold - SLACK) * WIDTH
+
+    def run(batches):
+        at, reps, comps, sigs = None, [], [], []
+        for b in batches:
+            node, block, asks, comp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "block", "asks", "c"))
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
+            rep = b.column("rep").to_pylist()
+            out: list[tuple] = []
+            cut = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(node)], strict=True):
+                if i == j:
+                    continue
+                if (node[i], block[i]) != at:
+                    at, reps, comps, sigs = (node[i], block[i]), [], [], []
+                if not asks[i]:
+                    reps.extend(rep[i:j])
+                    comps.append(comp[i:j])
+                    sigs.append(sig[i:j])
+                elif reps:
+                    comps, sigs = [np.concatenate(comps)], [np.concatenate(sigs)]
+                    for k in range(i, j):
+                        est = (sigs[0] == sig[k]).sum(1)
+                        est[comps[0] == comp[k]] = -1
+                        for m in np.argpartition(-est, min(PARTNERS, len(est)) - 1)[:PARTNERS].tolist():
+                            if est[m] >= least:
+                                out.append((rep[k], reps[m], int(est[m])))
+            cols = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("rep").type), pa.array(cols[1], b.schema.field("rep").type), pa.array(cols[2], pa.int32())], ["x", "y", "est"])
+
+    return run
 
 
 def _confirmed(store: Stored, docs: DataFrame, pairs: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
