@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vec
@@ -27,8 +27,8 @@ from .io import Stored, as_text, small_batches, table
 #: Minwise tokens in a signature, independent trees, levels of a tree.
 WIDTH, TREES, DEPTH = 96, 16, 5
 #: Rounds in which what a crowd's pivots leave outside is taken up again; in the last, each vertex outside
-#: is held against all of its nodes, in blocks of so many vertices, and tried with so many likeliest partners.
-ROUNDS, BLOCK, PARTNERS = 3, 4096, 48
+#: is held against all of its nodes, in blocks of so many vertices, and tried with the likeliest partners of each.
+ROUNDS, BLOCK, PARTNERS = 2, 4096, 12
 #: Vertices of a node that are compared exhaustively, and share of equal tokens below which a pair is not confirmed.
 NODE_SIZE, SLACK = 24, 0.17
 _U = np.uint64
@@ -154,16 +154,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = rows.groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
     vertices = store.keep(reps.join(rows.select("doc_id", *by_set, "sig"), [reps.rep == rows.doc_id, *(reps[c] == rows[c] for c in by_set)]).select("rep", "sig").dropDuplicates(["rep"]))
-    links = _links(store, docs, vertices, schema, words, percent)
-    comp = components(store, links)
+    comp = _linked(store, docs, vertices, schema, words, percent)
     comp = all_rows.select(*by_set, "doc_id").join(reps, by_set).join(comp, F.col("rep") == F.col("v"), "left").select("doc_id", F.coalesce("c", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = all_rows.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
-    """Confirmed links (a < b) between vertices, at least enough of them to join each true component."""
+def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
+    """(v, c): the components of the vertices that have confirmed links."""
     levels = [f"n{d}" for d in range(DEPTH)]
     rows = vertices.mapInArrow(_paths, f"rep {kind}, " + ", ".join(f"{c} long" for c in levels))
     pairs = None
@@ -207,11 +206,11 @@ def _links(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, words
                 new = likely(_with_pivots(crowd, pivots).join(tried, ["a", "b"], "left_anti")).select("a", "b")
             todo = todo.unionByName(new.join(tried, ["a", "b"], "left_anti"))
         todo = store.keep(todo.distinct())
-        if last and todo.isEmpty():
-            break
+        if todo.isEmpty() and (last or crowd.isEmpty()):
+            return label
         links = store.keep(links.unionByName(_confirmed(store, docs, todo, kind, words, percent)).distinct())
         tried = store.keep(tried.unionByName(todo))
-    return links
+    return components(store, links)
 
 
 def _pivots(crowd: DataFrame) -> DataFrame:
@@ -244,7 +243,6 @@ def _likeliest(outside: DataFrame, crowd: DataFrame, label: DataFrame, vertices:
     y = crowd.select("node", "rep").join(blocks, "node").select("node", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("asks"))
     rows = x.unionByName(y).join(sig, "rep").repartition("node", "block").sortWithinPartitions("node", "block", "asks")
     near = rows.select("node", "block", "asks", "rep", "c", "sig").mapInArrow(_partners(threshold), f"x {kind}, y {kind}, est int").distinct()
-    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("est"), "y"))).filter(F.col("nth") <= PARTNERS)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
