@@ -133,7 +133,7 @@ def quality_rank(pairs: DataFrame, scorers: list[str], k_top: float = 0.75) -> D
         df = FITTED[name](df) if name in FITTED else df.withColumn(name, F.round(PAIR_SCORERS[name](), 9))
     total = F.lit(0).cast("long")
     for name in scorers:
-        df = global_rank(df, name, "id", f"__r_{name}", descending=True)
+        df = global_rank(df, name, "id", f"__r_{name}", descending=True).persist()  # each ranking reads its input three times
         total = total + F.col(f"__r_{name}")
     n = int(pairs.count() * k_top)
     df = global_rank(df.select("id", "l", "r", total.alias("total")), "total", "id", "__at")
