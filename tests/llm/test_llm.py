@@ -98,7 +98,7 @@ def shingles(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def test_near_duplicates(spark, docs):
+def near_expected(docs):
     rows = {r.doc_id: shingles(r.text, 3) for r in docs.collect()}
     ids, parent = sorted(rows), {d: d for d in rows}
 
@@ -112,8 +112,31 @@ def test_near_duplicates(spark, docs):
             if rows[a] and 100 * len(rows[a] & rows[b]) >= 85 * len(rows[a] | rows[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
-    assert got == {d: (len(rows[d]), find(d), find(d) == d) for d in ids}
+    return {d: (len(rows[d]), find(d), find(d) == d) for d in ids}
+
+
+def near_found(docs):
+    return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, words=3, percent=85).collect()}
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    import random
+
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for _ in range(220):
+        words = list(base)
+        for at in draw.sample(range(90), draw.randint(0, 4)):
+            words[at] = f"x{draw.randint(0, 9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = near_expected(docs)
+    assert near_found(docs) == expected and len({c for _, c, _ in expected.values()}) > 1
+
+
+def test_near_duplicates(spark, docs):
+    assert near_found(docs) == near_expected(docs)
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(odd(spark)).collect()) == [(0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True), (3, 3, True)]
     assert minhash.near_duplicates(empty(spark)).count() == 0
 

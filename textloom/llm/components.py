@@ -16,6 +16,7 @@ def components(store: Stored, links: DataFrame, max_rounds: int = 60) -> DataFra
     of the shared folder; the driver sees only counts.
     """
     edges = store.keep(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v > u").distinct())
+    before = _checksum(edges)
     for _ in range(max_rounds):
         # large star: each vertex hangs its larger neighbours on its smallest neighbour
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -25,11 +26,15 @@ def components(store: Stored, links: DataFrame, max_rounds: int = 60) -> DataFra
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         after = store.keep(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
-        same = after.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        now = _checksum(after)
         store.drop(edges)
-        edges = after
+        edges, same, before = after, now == before, now
         if same:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select("v", F.col("u").alias("c")).unionByName(edges.select(F.col("u").alias("v"), F.col("u").alias("c")).distinct()).distinct()
+
+
+def _checksum(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()

@@ -5,9 +5,8 @@ follows a path of minwise tokens (the smallest shingle under one hash function a
 that a node of the tree holds vertices which agree in all tokens of its path. A node of at most
 `node_size` vertices is compared exhaustively; a larger one branches by its next token. A node that is
 still large at the last level is a crowd of vertices that all look alike: there each vertex is
-compared with pivots from the middle of the crowd; what is outside the pivots' components is a new,
-smaller crowd with pivots of its own, and what is outside at last is held against its whole nodes in
-blocks. Every link is confirmed on the full shingle sets. A pair of similarity s misses one tree, at level d, with
+compared with pivots from the middle of the crowd; what this leaves outside the crowd's main component
+is held against the whole crowd in blocks, so no pair of different components goes unseen. Every link is confirmed on the full shingle sets. A pair of similarity s misses one tree, at level d, with
 probability 1 - s**d, and all t trees with (1 - s**d)**t.
 """
 
@@ -26,9 +25,8 @@ from .io import Stored, as_text, small_batches, table
 
 #: Minwise tokens in a signature, independent trees, levels of a tree.
 WIDTH, TREES, DEPTH = 96, 16, 5
-#: Rounds in which what a crowd's pivots leave outside is taken up again; in the last, each vertex outside
-#: is held against all of its nodes, in blocks of so many vertices, and tried with the likeliest partners of each.
-ROUNDS, BLOCK, PARTNERS = 2, 4096, 12
+#: Pivots of a crowd; about as many vertices, or shingles, in a block of a crowd.
+PIVOTS, BLOCK, BLOCK_SHINGLES = 2, 4096, 4_000_000
 #: Vertices of a node that are compared exhaustively, and share of equal tokens below which a pair is not confirmed.
 NODE_SIZE, SLACK = 24, 0.17
 _U = np.uint64
@@ -76,19 +74,26 @@ def _chunks(found) -> Iterator[dict]:
         at += len(sets)
 
 
+def _orders() -> list[np.ndarray]:
+    """The hash functions that each tree branches by."""
+    return [np.random.RandomState(1000 + t).permutation(WIDTH)[:DEPTH] for t in range(TREES)]
+
+
+def _keys(sig: np.ndarray) -> list[np.ndarray]:
+    """For each level, the keys of the nodes (a row for each tree) of signatures."""
+    keys = np.empty((DEPTH, TREES, len(sig)), _U)
+    for t, order in enumerate(_orders()):
+        key = np.full(len(sig), t + 1, _U)
+        for d, c in enumerate(order):
+            keys[d, t] = key = vec.mix(key * _U(0x9E3779B97F4A7C15) + sig[:, c].astype(_U) + _U(1))
+    return list(keys)
+
+
 def _paths(batches):
     """A row for each vertex and tree, with the keys of its nodes on all levels."""
-    order = [np.random.RandomState(1000 + t).permutation(WIDTH)[:DEPTH] for t in range(TREES)]
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH).astype(_U)
-        rep = b.column("rep").to_numpy()
-        keys: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
-        for t in range(TREES):
-            key = np.full(len(rep), t + 1, _U)
-            for d, c in enumerate(order[t]):
-                key = vec.mix(key * _U(0x9E3779B97F4A7C15) + sig[:, c] + _U(1))
-                keys[d].append(key.view(np.int64))
-        yield pa.RecordBatch.from_pydict({"rep": np.tile(rep, TREES)} | {f"n{d}": np.concatenate(keys[d]) for d in range(DEPTH)})
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
+        yield pa.RecordBatch.from_pydict({"rep": np.tile(b.column("rep").to_numpy(zero_copy_only=False), TREES)} | {f"n{d}": k.reshape(-1).view(np.int64) for d, k in enumerate(_keys(sig))})
 
 
 def _likely(threshold: float):
@@ -115,6 +120,13 @@ def _set_rows(words: int):
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirm(percent: int):
     """Keeps pairs with 100 * intersection >= percent * union, on whole sets."""
 
@@ -122,9 +134,7 @@ def _confirm(percent: int):
         for b in batches:
             keep = []
             for i, (x, y) in enumerate(zip(b.column("ma").to_pylist(), b.column("mb").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+                if _alike(np.frombuffer(x, _U), np.frombuffer(y, _U), percent):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_pydict({"a": b.column("a").take(keep), "b": b.column("b").take(keep)})
@@ -153,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_set = ["n_shingles", "k1", "k2"]
     rows = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = rows.groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
-    vertices = store.keep(reps.join(rows.select("doc_id", *by_set, "sig"), [reps.rep == rows.doc_id, *(reps[c] == rows[c] for c in by_set)]).select("rep", "sig").dropDuplicates(["rep"]))
+    vertices = store.keep(reps.join(rows.select("doc_id", *by_set, "sig", F.col("n_shingles").alias("n")), [reps.rep == rows.doc_id, *(reps[c] == rows[c] for c in by_set)]).select("rep", "sig", "n").dropDuplicates(["rep"]))
     comp = _linked(store, docs, vertices, schema, words, percent)
     comp = all_rows.select(*by_set, "doc_id").join(reps, by_set).join(comp, F.col("rep") == F.col("v"), "left").select("doc_id", F.coalesce("c", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = all_rows.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
@@ -164,7 +174,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
     """(v, c): the components of the vertices that have confirmed links."""
     levels = [f"n{d}" for d in range(DEPTH)]
-    rows = vertices.mapInArrow(_paths, f"rep {kind}, " + ", ".join(f"{c} long" for c in levels))
+    rows = vertices.select("rep", "sig").mapInArrow(_paths, f"rep {kind}, " + ", ".join(f"{c} long" for c in levels))
     pairs = None
     for d, c in enumerate(levels):
         rows = store.keep(rows)
@@ -174,7 +184,9 @@ def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, word
         new = small.select("node", F.col("rep").alias("a")).join(small.select("node", F.col("rep").alias("b")), "node").filter("a < b").select("a", "b")
         pairs = new if pairs is None else pairs.unionByName(new)
         rows = sized.filter(F.col("size") > NODE_SIZE).select("rep", *levels[d:])
-    crowd = store.keep(rows.select("rep", F.col(levels[-1]).alias("node")))
+    crowd = rows.select("rep", F.col(levels[-1]).alias("node"))
+    crowd = store.keep(crowd.join(crowd.groupBy("rep").agg(F.count("*").alias("degree")), "rep"))
+    crowded = not crowd.isEmpty()
     pairs = pairs.distinct()
     signed = vertices.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     other = vertices.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
@@ -186,41 +198,38 @@ def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, word
     # first what ties each vertex to its likeliest partners, then only pairs that this left apart
     best = found.select(F.col("b").alias("x"), "a", "b", "est").unionByName(found.select(F.col("a").alias("x"), "a", "b", "est")).groupBy("x").agg(F.max(F.struct("est", "a", "b")).alias("m"), F.min(F.struct("a", "b")).alias("l"))
     todo = best.select("m.a", "m.b").unionByName(best.select("l.a", "l.b"))
-    if not crowd.isEmpty():
-        crowd = store.keep(crowd.join(crowd.groupBy("rep").agg(F.count("*").alias("degree")), "rep"))
-        whole, pivots = crowd, store.keep(_pivots(crowd))
-        todo = todo.unionByName(likely(_with_pivots(crowd, pivots)).select("a", "b"))
-    tried = todo = store.keep(todo.distinct())
-    links = store.keep(_confirmed(store, docs, todo, kind, words, percent))
-    for last in (*[False] * (ROUNDS - 1), True):
-        label = store.keep(components(store, links))
-        ca, cb = (label.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-        apart = found.select("a", "b").join(tried, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
-        todo = apart.filter(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b")
-        if not crowd.isEmpty():
-            crowd = store.keep(_outside(crowd, pivots, label))
-            if last:
-                new = _likeliest(crowd, whole, label, vertices, kind, percent / 100)
-            else:
-                pivots = store.keep(_pivots(crowd))
-                new = likely(_with_pivots(crowd, pivots).join(tried, ["a", "b"], "left_anti")).select("a", "b")
-            todo = todo.unionByName(new.join(tried, ["a", "b"], "left_anti"))
-        todo = store.keep(todo.distinct())
-        if todo.isEmpty() and (last or crowd.isEmpty()):
-            return label
-        links = store.keep(links.unionByName(_confirmed(store, docs, todo, kind, words, percent)).distinct())
-        tried = store.keep(tried.unionByName(todo))
-    return components(store, links)
+    if crowded:
+        todo = todo.unionByName(likely(_with_pivots(crowd, _pivots(crowd))).select("a", "b"))
+    tried = store.keep(todo.distinct())
+    links = store.keep(_confirmed(_members(store, docs, _ends(tried), kind, words), tried, kind, percent))
+    label = store.keep(components(store, links))
+    ca, cb = (label.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
+    apart = found.select("a", "b").join(tried, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
+    todo = store.keep(apart.filter(~F.coalesce("ca", "a").eqNullSafe(F.coalesce("cb", "b"))).select("a", "b"))
+    outside = store.keep(_outside(crowd, label)) if crowded else None
+    if todo.isEmpty() and (not crowded or outside.isEmpty()):
+        return label
+    wanted = _ends(todo)
+    if crowded:
+        crowd = crowd.join(outside.select("node").distinct(), "node", "left_semi")
+        wanted = wanted.unionByName(crowd.select(F.col("rep").alias("doc_id"))).distinct()
+    members = _members(store, docs, wanted, kind, words)
+    more = _confirmed(members, todo, kind, percent)
+    if crowded:
+        more = more.unionByName(_held(outside, crowd, label, vertices, members, kind, percent))
+    return components(store, links.unionByName(more))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
 def _pivots(crowd: DataFrame) -> DataFrame:
-    """(node, p): up to four vertices of each node, of those that are in most crowded nodes: they carry the
-    most frequent tokens, so they stand in the middle of what looks alike. All vertices of a small node."""
-    picks = [F.max(F.struct("degree", F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"p{k}") for k in range(4)]
-    chosen = crowd.groupBy("node").agg(F.count("*").alias("size"), *picks)
-    some = chosen.select("node", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.rep") for k in range(4))))).alias("p"))
-    small = chosen.filter(F.col("size") <= NODE_SIZE).select("node")
-    return some.unionByName(crowd.join(small, "node", "left_semi").select("node", F.col("rep").alias("p"))).distinct()
+    """(node, p): two vertices of each node, of those that are in most crowded nodes: they carry the
+    most frequent tokens, so they stand in the middle of what looks alike."""
+    picks = [F.max(F.struct("degree", F.xxhash64("rep", F.lit(k)).alias("h"), "rep")).alias(f"p{k}") for k in range(PIVOTS)]
+    chosen = crowd.groupBy("node").agg(*picks)
+    return chosen.select("node", F.explode(F.array_distinct(F.array(*(F.col(f"p{k}.rep") for k in range(PIVOTS))))).alias("p"))
 
 
 def _with_pivots(crowd: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -228,64 +237,77 @@ def _with_pivots(crowd: DataFrame, pivots: DataFrame) -> DataFrame:
     return crowd.join(pivots, "node").filter("rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
 
 
-def _outside(crowd: DataFrame, pivots: DataFrame, label: DataFrame) -> DataFrame:
-    """The vertices of each node that are in no component of its pivots."""
-    of = lambda df, x: df.join(label, df[x] == label["v"], "left").withColumn("c", F.coalesce("c", x)).drop("v")
-    done = of(pivots, "p").select("node", "c").distinct()
-    return of(crowd, "rep").join(done, ["node", "c"], "left_anti").select("rep", "node", "degree")
+def _outside(crowd: DataFrame, label: DataFrame) -> DataFrame:
+    """(rep, node): the vertices of each node outside the component that has most of the node's vertices.
+    Of two vertices of a node in different components, one is outside at least."""
+    own = crowd.join(label, crowd["rep"] == label["v"], "left").select("rep", "node", F.coalesce("c", "rep").alias("c"))
+    main = own.groupBy("node", "c").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "c")).alias("m")).select("node", F.col("m.c").alias("main"))
+    return own.join(main, "node").filter("c <> main").select("rep", "node")
 
 
-def _likeliest(outside: DataFrame, crowd: DataFrame, label: DataFrame, vertices: DataFrame, kind: str, threshold: float) -> DataFrame:
-    """(a, b): each vertex outside with its likeliest partners of other components in its nodes."""
-    blocks = crowd.groupBy("node").agg(F.floor(F.count("*") / BLOCK + 1).alias("blocks")).join(outside.select("node").distinct(), "node", "left_semi")
-    sig = vertices.join(label, vertices["rep"] == label["v"], "left").select("rep", "sig", F.coalesce("c", "rep").alias("c"))
-    x = outside.select("node", "rep").join(blocks, "node").select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"))
+def _held(outside: DataFrame, crowd: DataFrame, label: DataFrame, vertices: DataFrame, members: DataFrame, kind: str, percent: int) -> DataFrame:
+    """(a, b): links of each vertex outside with vertices of other components in its nodes, which are read
+    in blocks of bounded size; from one block at least one link to each component that has any."""
+    blocks = crowd.join(vertices.select("rep", "n"), "rep").groupBy("node").agg(F.floor(F.count("*") / BLOCK + F.sum("n") / BLOCK_SHINGLES + 1).alias("blocks"))
+    full = vertices.select("rep", "sig").join(label, vertices["rep"] == label["v"], "left").select("rep", "sig", F.coalesce("c", "rep").alias("c")).join(members, "rep")
+    x = outside.join(blocks, "node").select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"))
     y = crowd.select("node", "rep").join(blocks, "node").select("node", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("asks"))
-    rows = x.unionByName(y).join(sig, "rep").repartition("node", "block").sortWithinPartitions("node", "block", "asks")
-    near = rows.select("node", "block", "asks", "rep", "c", "sig").mapInArrow(_partners(threshold), f"x {kind}, y {kind}, est int").distinct()
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = x.unionByName(y).join(full, "rep").repartition("node", "block").sortWithinPartitions("node", "block", "asks")
+    near = rows.select("node", "block", "asks", "rep", "c", "sig", "members").mapInArrow(_block_links(percent), f"x {kind}, y {kind}")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _partners(threshold: float):
-    """Of the rows of a block, those that ask (they come last) with the likeliest others."""
-    least = (threshold - SLACK) * WIDTH
+def _block_links(percent: int):
+    """Of the rows of a block, those that ask (they come last) with others that they are linked to.
+
+    Candidates come from the whole signatures, without a limit on their number; a pair that shares
+    several nodes is only looked at in the first tree that it shares."""
+    least = (percent / 100 - SLACK) * WIDTH
+    columns = np.array(_orders())
 
     def run(batches):
-        at, reps, comps, sigs = None, [], [], []
+        at, held = None, []
         for b in batches:
             node, block, asks, comp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "block", "asks", "c"))
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, WIDTH)
-            rep = b.column("rep").to_pylist()
+            rep, sets = b.column("rep").to_pylist(), b.column("members")
             out: list[tuple] = []
             cut = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
             for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(node)], strict=True):
                 if i == j:
                     continue
                 if (node[i], block[i]) != at:
-                    at, reps, comps, sigs = (node[i], block[i]), [], [], []
+                    at, held = (node[i], block[i]), []
                 if not asks[i]:
-                    reps.extend(rep[i:j])
-                    comps.append(comp[i:j])
-                    sigs.append(sig[i:j])
-                elif reps:
-                    comps, sigs = [np.concatenate(comps)], [np.concatenate(sigs)]
+                    held.append((rep[i:j], comp[i:j], sig[i:j], [np.frombuffer(m, _U) for m in sets[i : j].to_pylist()]))
+                elif held:
+                    held = [(sum((h[0] for h in held), []), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), sum((h[3] for h in held), []))]
+                    reps, comps, sigs, full = held[0]
+                    tree = (_keys(sig[i : i + 1])[-1][:, 0].view(np.int64) == node[i]).argmax()
                     for k in range(i, j):
-                        est = (sigs[0] == sig[k]).sum(1)
-                        est[comps[0] == comp[k]] = -1
-                        for m in np.argpartition(-est, min(PARTNERS, len(est)) - 1)[:PARTNERS].tolist():
-                            if est[m] >= least:
-                                out.append((rep[k], reps[m], int(est[m])))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("rep").type), pa.array(cols[1], b.schema.field("rep").type), pa.array(cols[2], pa.int32())], ["x", "y", "est"])
+                        same = sigs == sig[k]
+                        est = same.sum(1)
+                        near = np.flatnonzero((est >= least) & (comps != comp[k]))
+                        near = near[same[near][:, columns].all(2).argmax(1) == tree]
+                        mine, done = np.frombuffer(sets[k].as_py(), _U), set()
+                        for m in near[np.argsort(-est[near], kind="stable")].tolist():
+                            if comps[m] not in done and _alike(mine, full[m], percent):
+                                done.add(comps[m])
+                                out.append((rep[k], reps[m]))
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            kind = b.schema.field("rep").type
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind)], ["x", "y"])
 
     return run
 
 
-def _confirmed(store: Stored, docs: DataFrame, pairs: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(words), f"rep {kind}, members binary").dropDuplicates(["rep"])
-    sets = store.keep(sets)
-    joined = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
+def _members(store: Stored, docs: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
+    """(rep, members): the whole shingle sets of the wanted documents."""
+    return store.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(words), f"rep {kind}, members binary").dropDuplicates(["rep"]))
+
+
+def _confirmed(members: DataFrame, pairs: DataFrame, kind: str, percent: int) -> DataFrame:
+    joined = pairs.join(members.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a").join(members.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
     return joined.select("a", "b", "ma", "mb").mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
 
 
