@@ -125,12 +125,13 @@ def haiku(df: DataFrame, col: str = "line") -> DataFrame:
     """Sentences (cut at , . ;) of 17 syllables whose words end at syllables 5 and 12: first, second, third."""
     s = df.withColumn("__s", F.explode(F.split(F.col(col), "[,.;]", -1)))
     s = s.withColumn("__w", F.filter(F.split("__s", r"\s+", -1), lambda w: w.rlike(r"\p{L}")))
-    s = s.withColumn("__n", F.transform("__w", syllables)).filter(F.aggregate("__n", F.lit(0).cast("long"), lambda a, x: a + x) == 17)
-    s = s.withColumn("__c", F.transform("__n", lambda x, i: F.aggregate(F.slice("__n", 1, i + 1), F.lit(0).cast("long"), lambda a, y: a + y)))
-    a, b = F.array_position("__c", F.lit(5).cast("long")).cast("int"), F.array_position("__c", F.lit(12).cast("long")).cast("int")
+    sums = F.aggregate("__w", F.array(F.lit(0).cast("long")), lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + syllables(w)))
+    # behind an explode the optimiser can't put the sums into each place that reads them
+    s = s.withColumn("__c", F.explode(F.array(sums))).filter(F.element_at("__c", -1) == 17)
+    a, b = ((F.array_position("__c", F.lit(k).cast("long")) - 1).cast("int") for k in (5, 12))
     s = s.filter((a > 0) & (b > 0))
     part = lambda lo, n: F.array_join(F.transform(F.slice("__w", lo, n), U.cleaned), " ")
-    return s.withColumns({"first": part(F.lit(1), a), "second": part(a + 1, b - a), "third": part(b + 1, F.size("__w") - b)}).drop("__s", "__w", "__n", "__c")
+    return s.withColumns({"first": part(F.lit(1), a), "second": part(a + 1, b - a), "third": part(b + 1, F.size("__w") - b)}).drop("__s", "__w", "__c")
 
 
 class Steps:
