@@ -200,6 +200,13 @@ def test_lines(spark):
     assert lines.without_recurring_lines(odd(spark)).columns[:5] == odd(spark).columns and lines.without_recurring_lines(empty(spark)).count() == 0
 
 
+def test_lines_first_in_some_documents_and_last_in_others(spark):
+    word = [a + b for a in "abcdef" for b in "uvwxyz"]
+    rows = [(i, f"Read our news\nstory {w}" if i % 2 else f"story {w}\nRead our news") for i, w in enumerate(word)]
+    out = {r.doc_id: r for r in lines.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "Read our news" in out[0].text and all(out[i].text == f"story {word[i]}" for i in range(1, len(word)))
+
+
 def test_fixity(spark):
     schema = "page_id long, url string, html string"
     a = spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(300)] + [(None, None, None), (7, "u7", "x" * 7)], schema)
