@@ -207,6 +207,17 @@ def test_lines_first_in_some_documents_and_last_in_others(spark):
     assert "Read our news" in out[0].text and all(out[i].text == f"story {word[i]}" for i in range(1, len(word)))
 
 
+def test_lines_in_blocks_and_between_blank_lines(spark):
+    word = [a + b for a in "abcdef" for b in "uvwxyz"]
+    block = ["Permission is given", "to use and to copy", "this text as it is", "without any warranty"]
+    rows = [(i, "\n".join([f"story {w}", *block, f"so much on {w}", "", "See us again soon", "", f"end of {w}"])) for i, w in enumerate(word)]
+    rows += [(100 + i, "One text" + "\n" * (1 + i) + "with blank lines") for i in range(6)]
+    out = {r.doc_id: r for r in lines.without_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].n_dropped == 0
+    assert all(out[i].text == f"story {w}\nso much on {w}\n\n\nend of {w}" and out[i].n_dropped == 5 for i, w in enumerate(word) if i)
+    assert all(out[100 + i].n_dropped == 0 for i in range(6))
+
+
 def test_fixity(spark):
     schema = "page_id long, url string, html string"
     a = spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(300)] + [(None, None, None), (7, "u7", "x" * 7)], schema)
