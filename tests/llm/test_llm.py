@@ -58,6 +58,27 @@ def test_loser_tree_gives_shared_prefixes():
     assert [n for n, _ in out][1:] == [len(suffix_dedup.commonprefix((a, b))) for a, b in zip(words, words[1:], strict=False)]
 
 
+def test_runs_of_several_chunks():
+    import random
+
+    import pyarrow as pa
+    import zstandard
+
+    random.seed(8)
+    n = 2 * suffix_dedup.CHUNK + 500
+    texts = ["".join(random.choice("abcd") for _ in range(60)).encode() for _ in range(n + 700)]
+    z = zstandard.ZstdCompressor(level=1)
+
+    def batch(first, m):
+        ids = random.sample(range(m), m)
+        return pa.RecordBatch.from_pylist([{"slot": {"i": first + k, "u": 0}, "z": z.compress(texts[k]), "spots": [{"h": 0, "a": 10, "lo": 0, "hi": 10}]} for k in ids])
+
+    runs = [b for x in (batch(0, n), batch(n, n + 700)) for b in suffix_dedup._runs(40, 1)(iter([x]))]
+    assert [b.num_rows for b in runs] == [3, 3]
+    spans = [x for b in suffix_dedup._merge(40, 20)(iter(runs)) for x in b.to_pylist()]
+    assert sorted((x["slot_id"], x["s"], x["e"]) for x in spans) == [(i, 0, 50) for i in range(2 * n)]
+
+
 def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "\\ <|im_end|>\n", "", "<s\\>", "word " * 40]
     rows = [(1, i, "system" if i == 0 else ("user", "assistant")[i % 2], texts[i % 5]) for i in range(30)] + [(None, None, None, None)]

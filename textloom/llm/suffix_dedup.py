@@ -94,13 +94,18 @@ def _find(span: int, window: int):
     return run
 
 
-def _pack_run(entries: list[tuple[bytes, bytes, int, list]]) -> bytes:
-    """Front-codes sorted (suffix, bytes before it, smallest offset of a window before the anchor, owners)."""
-    parts, last = [], b""
-    for suffix, before, near, owners in entries:
+def _pack_run(entries: list[tuple[bytes, bytes, int, list]], last: bytes = b"") -> bytes:
+    """Front-codes sorted (suffix, bytes before it, smallest offset of a window before the anchor, owners).
+
+    last is the suffix that ends the chunk before. The first entry states what it shares with that, and
+    is written in full all the same, so that a chunk can be read alone.
+    """
+    parts = []
+    for i, (suffix, before, near, owners) in enumerate(entries):
         n = len(commonprefix((last, suffix))) if last else 0
-        parts.append(struct.pack("<HHHHI", n, len(suffix) - n, len(before), near, len(owners)))
-        parts.append(suffix[n:] + before)
+        known = n if i else 0
+        parts.append(struct.pack("<HHHHI", n, len(suffix) - known, len(before), near, len(owners)))
+        parts.append(suffix[known:] + before)
         parts.append(b"".join(owners))
         last = suffix
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
@@ -135,7 +140,7 @@ def _runs(span: int, buckets: int, limit: int = 40_000):
             for bucket, group in held.items():
                 rows = sorted((s, b, near, owners) for (s, b, near), owners in group.items())
                 for c in range(0, len(rows), CHUNK):
-                    out.append((bucket, name, c // CHUNK, _pack_run(rows[c : c + CHUNK])))
+                    out.append((bucket, name, c // CHUNK, _pack_run(rows[c : c + CHUNK], rows[c - 1][0] if c else b"")))
             held.clear()
             cols = list(zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["bucket", "run", "chunk", "blob"])
