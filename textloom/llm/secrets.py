@@ -1,7 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-DataFrame operations only. A word of a text is a candidate if a part of it has the form of a key, a
-token or an assigned password. Each candidate is described by its length, character transitions and
+DataFrame operations only. Every part of a text that has the form of a key, a token or an assigned
+password is a candidate, however many there are between two blanks. Each candidate is described by its length, character transitions and
 classes, the share of it that dictionary words cover, the path it was found under and its neighbouring
 words; a random forest trained on labelled findings decides.
 """
@@ -18,7 +18,9 @@ from .io import table
 
 #: What a candidate's value looks like: an access key, an assigned value, or a long run with a digit.
 VALUE = r"(AKIA[0-9A-Z]{12,}|[A-Za-z0-9+/_\-]{16,}={0,2})"
-ASSIGNED = r"(?i)(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth)[\"']?\s*[:=]+[\"']?([^\s\"',;]{6,})"
+#: The name that a value is assigned to; the value, which may hold further names, is only looked at.
+NAME, TO = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth)[\"']?\s*[:=]+\s*[\"']?", r"[^\s\"',;]{6,}"
+ASSIGNED = rf"(?i){NAME}{TO}"
 #: A text without one of these holds no candidate.
 QUICK = r"(?i)AKIA|pass(?:word|wd)?[\"']?\s*[:=]|(?:pwd|secret|token|key|auth)[\"']?\s*[:=]|[A-Za-z0-9+/_\-]*[0-9][A-Za-z0-9+/_\-]{15}|[A-Za-z0-9+/_\-]{15}[0-9]|[A-Za-z0-9+/_\-]{8}[0-9][A-Za-z0-9+/_\-]{7}"
 KEYWORD = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
@@ -35,20 +37,27 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, start, value, before, path): start counts code points in the text, before is the three
     words in front of the candidate with what its own word has before the value."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), path.alias("path")).filter(F.col("text").rlike(QUICK))
-    words = F.split("text", r"[ \t\r\n]")
-    rows = rows.withColumn("ws", words)
-    hits = F.filter(F.transform("ws", lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda s: s["w"].rlike(VALUE) | s["w"].rlike(ASSIGNED))
-    rows = rows.select("doc_id", "path", "ws", F.explode(hits).alias("hit"))
-    w, i = F.col("hit.w"), F.col("hit.i")
-    assigned = F.regexp_extract(w, ASSIGNED, 1)
-    value = F.when(assigned != "", assigned).otherwise(F.regexp_extract(w, VALUE, 1))
-    rows = rows.select("doc_id", "path", "ws", i.alias("i"), w.alias("w"), value.alias("value")).filter(F.col("value").rlike("[0-9]") | F.col("w").rlike(ASSIGNED))
-    at = F.instr("w", F.col("value")) - 1
-    gone = F.aggregate(F.slice("ws", 1, F.col("i")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
-    first = F.greatest(F.col("i") - 2, F.lit(1))
-    before = F.concat_ws(" ", F.array_join(F.slice("ws", first, F.col("i") + 1 - first), " "), F.substring("w", F.lit(1), at))
-    return rows.select("doc_id", (gone + at).alias("start"), "value", before.alias("before"), "path")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"))
+    rows = rows.filter(F.col("text").rlike(QUICK))
+    every = lambda pattern, k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
+    upto = lambda xs: F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    # with what lies before each match, since its place is the sum of the lengths so far
+    named = rf"(?i)([\s\S]*?)({NAME})(?=({TO}))"
+    rows = rows.withColumns({"skip": every(named, 1), "name": every(named, 2), "to": every(named, 3)})
+    rows = rows.withColumn("step", F.zip_with("skip", "name", lambda x, y: F.length(x) + F.length(y))).withColumn("at", upto(F.col("step")))
+    # an assigned value ends where the next name begins, or before the next part of a URL's query
+    ahead = lambda i: F.coalesce(F.length(F.get("skip", i + 1)), F.length(F.get("to", i)))
+    value = lambda x, i: F.regexp_replace(F.substring(x, F.lit(1), ahead(i)), r"(?s)&[\w.\-]+=.*$", "")
+    rows = rows.withColumn("to", F.transform("to", value))
+    rows = rows.withColumn("assigned", F.filter(F.zip_with("at", "to", lambda i, x: F.struct(i.alias("i"), x.alias("v"))), lambda s: F.length(s["v"]) >= 6))
+    run = rf"([\s\S]*?){VALUE}"
+    rows = rows.select("doc_id", "path", "text", "assigned", every(run, 1).alias("skip"), every(run, 2).alias("v"))
+    rows = rows.withColumn("step", F.zip_with("skip", "v", lambda x, y: F.length(x) + F.length(y))).withColumn("at", upto(F.col("step")))
+    plain = F.zip_with("at", "v", lambda i, x: F.struct((i - F.length(x)).alias("i"), x.alias("v")))
+    plain = F.filter(plain, lambda s: s["v"].rlike("[0-9]") & ~F.array_contains(F.col("assigned.i"), s["i"]))
+    rows = rows.select("doc_id", "path", F.translate("text", "\t\r\n", "   ").alias("flat"), F.explode(F.concat("assigned", plain)).alias("hit"))
+    before = F.substring_index(F.substring("flat", F.lit(1), F.col("hit.i")), " ", -4)
+    return rows.select("doc_id", F.col("hit.i").cast("long").alias("start"), F.col("hit.v").alias("value"), before.alias("before"), "path")
 
 
 def with_features(found: DataFrame) -> DataFrame:
