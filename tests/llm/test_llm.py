@@ -128,6 +128,10 @@ def test_secrets_many_in_a_word_and_across_blanks(spark):
         assert found_secrets(spark, text) == sorted((text.index(v), v) for v in want), text
 
 
+def test_secrets_any_place_of_the_digit(spark):
+    assert found_secrets(spark, "see aB3dEfghijKLmnop here") == [(4, "aB3dEfghijKLmnop")]
+
+
 def shingles(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())

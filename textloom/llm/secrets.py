@@ -21,8 +21,6 @@ VALUE = r"(AKIA[0-9A-Z]{12,}|[A-Za-z0-9+/_\-]{16,}={0,2})"
 #: The name that a value is assigned to; the value, which may hold further names, is only looked at.
 NAME, TO = r"(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth)[\"']?\s*[:=]+\s*[\"']?", r"[^\s\"',;]{6,}"
 ASSIGNED = rf"(?i){NAME}{TO}"
-#: A text without one of these holds no candidate.
-QUICK = r"(?i)AKIA|pass(?:word|wd)?[\"']?\s*[:=]|(?:pwd|secret|token|key|auth)[\"']?\s*[:=]|[A-Za-z0-9+/_\-]*[0-9][A-Za-z0-9+/_\-]{15}|[A-Za-z0-9+/_\-]{15}[0-9]|[A-Za-z0-9+/_\-]{8}[0-9][A-Za-z0-9+/_\-]{7}"
 KEYWORD = r"(?i)(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)"
 HARMLESS = r"(?i)(^|[\s\"'])(example|sample|dummy|fake|test|commit|sha1|sha256|md5|checksum|hash|uuid|version|placeholder|your)([\s:=\"']|$)"
 PATH = r"(?i)(test|example|sample|doc|fixture|mock)"
@@ -38,7 +36,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words in front of the candidate with what its own word has before the value."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), path.alias("path"))
-    rows = rows.filter(F.col("text").rlike(QUICK))
+    rows = rows.filter(F.col("text").rlike(ASSIGNED) | (F.col("text").rlike("[0-9]") & F.col("text").rlike(VALUE)))
     every = lambda pattern, k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
     upto = lambda xs: F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
     # with what lies before each match, since its place is the sum of the lengths so far
