@@ -24,10 +24,10 @@ def minimal(df: DataFrame, wordlist: DataFrame, id_cols: list[str], col: str = "
     return x.withColumn("nth", F.row_number().over(Window.partitionBy("rank").orderBy(*order)).cast("long")).filter(F.col("nth") <= per_word).drop("__i")
 
 
-def curriculum(df: DataFrame, id_cols: list[str], col: str = "line", existing: DataFrame | None = None, desired: DataFrame | None = None, start: int = 26, max_rounds: int = 50) -> list[list[str]]:
+def curriculum(df: DataFrame, id_cols: list[str], col: str = "line", existing: DataFrame | None = None, desired: DataFrame | None = None, start: int = 26, max_rounds: int | None = None) -> list[list[str]]:
     """Rounds of words to learn: in each, the words that are the only unknown one of some line, those first
     that then leave most lines with one unknown word (or that come early in desired), half of `start` plus
-    the words learnt so far. Ends when no line has just one unknown word.
+    the words learnt so far. Ends when no line has just one unknown word, or after max_rounds if given.
 
     Only the words of a round come to the driver; what remains of the lines is checkpointed each round.
     """
@@ -41,7 +41,7 @@ def curriculum(df: DataFrame, id_cols: list[str], col: str = "line", existing: D
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     out: list[list[str]] = []
     total = start
-    for _ in range(max_rounds):
+    while max_rounds is None or len(out) < max_rounds:
         words = words.checkpoint()
         sizes = words.groupBy(*id_cols).agg(F.count("*").alias("n")).filter("n <= 2")
         near = words.join(sizes, id_cols).groupBy("word").agg(F.max(F.col("n") == 1).alias("only"), F.sum(F.when(F.col("n") == 2, 1).otherwise(0)).alias("two")).filter("only")

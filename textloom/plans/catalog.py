@@ -558,7 +558,7 @@ def minimal(spark, d):
 
 @query()
 def wordlist(spark, d):
-    rounds = C.curriculum(lines(spark, d), IDS, existing=_frequent(spark, d).select("word").limit(2000), max_rounds=6)
+    rounds = C.curriculum(lines(spark, d), IDS, existing=_frequent(spark, d).select("word").limit(2000))
     return spark.createDataFrame([(i, k, w) for i, ws in enumerate(rounds) for k, w in enumerate(ws)], "round long, nth long, word string")
 
 
