@@ -39,8 +39,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.filter(F.col("text").rlike(ASSIGNED) | (F.col("text").rlike("[0-9]") & F.col("text").rlike(VALUE)))
     every = lambda pattern, k: F.regexp_extract_all("text", F.lit(pattern), F.lit(k))
     upto = lambda xs: F.transform(xs, lambda _, i: F.aggregate(F.slice(xs, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
-    # with what lies before each match, since its place is the sum of the lengths so far
-    named = rf"(?i)([\s\S]*?)({NAME})(?=({TO}))"
+    # with what lies before each match, since its place is the sum of the lengths so far;
+    # \G, or the text after the last match would be gone through from each of its places
+    named = rf"(?i)\G([\s\S]*?)({NAME})(?=({TO}))"
     rows = rows.withColumns({"skip": every(named, 1), "name": every(named, 2), "to": every(named, 3)})
     rows = rows.withColumn("step", F.zip_with("skip", "name", lambda x, y: F.length(x) + F.length(y))).withColumn("at", upto(F.col("step")))
     # an assigned value ends where the next name begins, or before the next part of a URL's query
@@ -48,7 +49,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     value = lambda x, i: F.regexp_replace(F.substring(x, F.lit(1), ahead(i)), r"(?s)&[\w.\-]+=.*$", "")
     rows = rows.withColumn("to", F.transform("to", value))
     rows = rows.withColumn("assigned", F.filter(F.zip_with("at", "to", lambda i, x: F.struct(i.alias("i"), x.alias("v"))), lambda s: F.length(s["v"]) >= 6))
-    run = rf"([\s\S]*?){VALUE}"
+    run = rf"\G([\s\S]*?){VALUE}"
     rows = rows.select("doc_id", "path", "text", "assigned", every(run, 1).alias("skip"), every(run, 2).alias("v"))
     rows = rows.withColumn("step", F.zip_with("skip", "v", lambda x, y: F.length(x) + F.length(y))).withColumn("at", upto(F.col("step")))
     plain = F.zip_with("at", "v", lambda i, x: F.struct((i - F.length(x)).alias("i"), x.alias("v")))
