@@ -187,13 +187,13 @@ def _search(index):
                 for (row, seg), (e, s, t) in sorted(found.items()):
                     out.append((i + row, ix.item[seg], ix.start[seg], e, s, t))
             at = pa.array([x[0] for x in out], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(at)} | {c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("item_id", "item_start", "edits", "start", "end"), 1)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").take(at), "uid": b.column("uid").take(at)} | {c: pa.array([x[k] for x in out], pa.int64()) for k, c in enumerate(("item_id", "item_start", "edits", "start", "end"), 1)})
 
     return run
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 96, least: int = 32, percent: int = 7) -> DataFrame:
-    """(doc_id, item_id, item_start, edits, start, end): a row for each document and benchmark segment
+def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 96, least: int = 32, percent: int = 7, with_uid: bool = False) -> DataFrame:
+    """(doc_id, item_id, item_start, edits, start, end[, uid]): a row for each document and benchmark segment
     that occurs in it with at most percent / 100 edits a byte; its best place.
 
     Places count in UTF-8 bytes of the normalised text (A-Z lower-cased, white space runs one space).
@@ -203,7 +203,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = as_text(docs, id_col, text_col)
+    docs = as_text(docs, id_col, text_col).withColumn("uid", F.xxhash64("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total) // INDEX_BYTES + 1
@@ -212,9 +212,9 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         part = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toLocalIterator()]
         index = spark.sparkContext.broadcast(Index(part, length, least, percent))
         kind = docs.schema["doc_id"].dataType.simpleString()
-        found = docs.mapInArrow(_search(index), f"doc_id {kind}, item_id long, item_start long, edits long, start long, end long")
+        found = docs.mapInArrow(_search(index), f"doc_id {kind}, uid long, item_id long, item_start long, edits long, start long, end long")
         out = found if out is None else out.unionByName(found)
-    return out
+    return out if with_uid else out.drop("uid")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

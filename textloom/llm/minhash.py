@@ -62,7 +62,7 @@ def _summaries(words: int):
                 at = slice(sets["at"], sets["at"] + len(n))
                 k1 = np.array([x.sum(dtype=_U) for x in sets["sets"]], _U).view(np.int64)
                 k2 = np.array([np.bitwise_xor.reduce(vec.mix(x)) for x in sets["sets"]], _U).view(np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")[at], "n_shingles": n, "k1": k1, "k2": k2, "sig": pa.array([next(sig).tobytes() if x else None for x in n.tolist()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")[at], "uid": b.column("uid")[at], "n_shingles": n, "k1": k1, "k2": k2, "sig": pa.array([next(sig).tobytes() if x else None for x in n.tolist()], pa.binary())})
 
     return run
 
@@ -115,7 +115,7 @@ def _set_rows(words: int):
     def run(batches):
         for b in batches:
             for sets in _chunks(_sets(b.column("text"), words)):
-                yield pa.RecordBatch.from_pydict({"rep": b.column("doc_id")[sets["at"] : sets["at"] + len(sets["sets"])], "members": pa.array([x.tobytes() for x in sets["sets"]], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"rep": b.column("v")[sets["at"] : sets["at"] + len(sets["sets"])], "members": pa.array([x.tobytes() for x in sets["sets"]], pa.binary())})
 
     return run
 
@@ -142,39 +142,46 @@ def _confirm(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): a row for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, with_groups: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept[, uid, group_id]): a row for each row of docs.
 
     Similarity is that of the sets of `words`-word shingles (A-Z lower-cased, words between ASCII
     white space); two documents are linked from `percent` per cent on. component_id is the smallest id
-    reachable over links, kept says whether that is the document itself.
+    reachable over links, kept says whether that is the document itself. If asked for, uid is a hash of
+    the text, which tells rows that share an id apart, and group_id a number of the component, null where
+    a row takes part in no links.
 
     Null or empty text, or text without words: an empty set, linked with nothing. Fewer words than
-    `words`: one shingle of all of them. Repeated rows: each gets the same answer. Null ids: the row
+    `words`: one shingle of all of them. Very long texts are read in whole. Repeated rows: each gets the
+    same answer. Different texts under one id: each has its own links and component. Null ids: the row
     takes part in no link and is its own component, with a null component_id and kept. Other columns
     are not looked at. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     small_batches(spark)
     store = Stored(spark)
-    docs = as_text(docs, id_col, text_col)
+    docs = as_text(docs, id_col, text_col).withColumn("uid", F.xxhash64("text"))
     schema = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
-    all_rows = store.keep(docs.mapInArrow(_summaries(words), f"doc_id {schema}, n_shingles long, k1 long, k2 long, sig binary"))
+    all_rows = store.keep(docs.mapInArrow(_summaries(words), f"doc_id {schema}, uid long, n_shingles long, k1 long, k2 long, sig binary"))
     by_set = ["n_shingles", "k1", "k2"]
     rows = all_rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = rows.groupBy(*by_set).agg(F.min("doc_id").alias("rep"))
-    vertices = store.keep(reps.join(rows.select("doc_id", *by_set, "sig", F.col("n_shingles").alias("n")), [reps.rep == rows.doc_id, *(reps[c] == rows[c] for c in by_set)]).select("rep", "sig", "n").dropDuplicates(["rep"]))
-    comp = _linked(store, docs, vertices, schema, words, percent)
-    comp = all_rows.select(*by_set, "doc_id").join(reps, by_set).join(comp, F.col("rep") == F.col("v"), "left").select("doc_id", F.coalesce("c", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = all_rows.select("doc_id", "n_shingles").join(comp, "doc_id", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, words: int, percent: int) -> DataFrame:
+    # a vertex for each set, with its smallest document; the number that it gets is fixed once it is written
+    sets = rows.groupBy(*by_set).agg(F.min(F.struct("doc_id", "uid")).alias("least"), F.min("sig").alias("sig"))
+    vertices = store.keep(sets.select(F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.uid", *by_set, "sig", F.col("n_shingles").alias("n")))
+    comp = store.keep(_linked(store, docs, vertices, words, percent))
+    own = vertices.select("rep", "doc_id", *by_set).join(comp, F.col("rep") == F.col("v"), "left").withColumn("c", F.coalesce("c", "rep"))
+    least = own.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    own = own.select("c", *by_set).join(least, "c").select(*by_set, "component_id", F.col("c").alias("group_id"))
+    out = all_rows.select("doc_id", "uid", *by_set).join(own, by_set, "left")
+    linked = F.col("n_shingles").cast("boolean") & F.col("doc_id").isNotNull()
+    out = out.withColumn("component_id", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(["uid", F.when(linked, F.col("group_id")).alias("group_id")] if with_groups else []))
+
+
+def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:
     """(v, c): the components of the vertices that have confirmed links."""
     levels = [f"n{d}" for d in range(DEPTH)]
-    rows = vertices.select("rep", "sig").mapInArrow(_paths, f"rep {kind}, " + ", ".join(f"{c} long" for c in levels))
+    rows = vertices.select("rep", "sig").mapInArrow(_paths, "rep long, " + ", ".join(f"{c} long" for c in levels))
     pairs = None
     for d, c in enumerate(levels):
         rows = store.keep(rows)
@@ -192,7 +199,7 @@ def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, word
     other = vertices.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
 
     def likely(df: DataFrame) -> DataFrame:
-        return df.join(signed, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100), f"a {kind}, b {kind}, est int")
+        return df.join(signed, "a").join(other, "b").select("a", "b", "sa", "sb").mapInArrow(_likely(percent / 100), "a long, b long, est int")
 
     found = store.keep(likely(pairs))
     # first what ties each vertex to its likeliest partners, then only pairs that this left apart
@@ -201,7 +208,7 @@ def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, word
     if crowded:
         todo = todo.unionByName(likely(_with_pivots(crowd, _pivots(crowd))).select("a", "b"))
     tried = store.keep(todo.distinct())
-    links = store.keep(_confirmed(_members(store, docs, _ends(tried), kind, words), tried, kind, percent))
+    links = store.keep(_confirmed(_members(store, docs, vertices, _ends(tried), words), tried, percent))
     label = store.keep(components(store, links))
     ca, cb = (label.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
     apart = found.select("a", "b").join(tried, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
@@ -212,16 +219,16 @@ def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, kind: str, word
     wanted = _ends(todo)
     if crowded:
         crowd = crowd.join(outside.select("node").distinct(), "node", "left_semi")
-        wanted = wanted.unionByName(crowd.select(F.col("rep").alias("doc_id"))).distinct()
-    members = _members(store, docs, wanted, kind, words)
-    more = _confirmed(members, todo, kind, percent)
+        wanted = wanted.unionByName(crowd.select("rep")).distinct()
+    members = _members(store, docs, vertices, wanted, words)
+    more = _confirmed(members, todo, percent)
     if crowded:
-        more = more.unionByName(_held(outside, crowd, label, vertices, members, kind, percent))
+        more = more.unionByName(_held(outside, crowd, label, vertices, members, percent))
     return components(store, links.unionByName(more))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
 
 
 def _pivots(crowd: DataFrame) -> DataFrame:
@@ -245,7 +252,7 @@ def _outside(crowd: DataFrame, label: DataFrame) -> DataFrame:
     return own.join(main, "node").filter("c <> main").select("rep", "node")
 
 
-def _held(outside: DataFrame, crowd: DataFrame, label: DataFrame, vertices: DataFrame, members: DataFrame, kind: str, percent: int) -> DataFrame:
+def _held(outside: DataFrame, crowd: DataFrame, label: DataFrame, vertices: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(a, b): links of each vertex outside with vertices of other components in its nodes, which are read
     in blocks of bounded size; from one block at least one link to each component that has any."""
     blocks = crowd.join(vertices.select("rep", "n"), "rep").groupBy("node").agg(F.floor(F.count("*") / BLOCK + F.sum("n") / BLOCK_SHINGLES + 1).alias("blocks"))
@@ -253,7 +260,7 @@ def _held(outside: DataFrame, crowd: DataFrame, label: DataFrame, vertices: Data
     x = outside.join(blocks, "node").select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"))
     y = crowd.select("node", "rep").join(blocks, "node").select("node", "rep", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(0).alias("asks"))
     rows = x.unionByName(y).join(full, "rep").repartition("node", "block").sortWithinPartitions("node", "block", "asks")
-    near = rows.select("node", "block", "asks", "rep", "c", "sig", "members").mapInArrow(_block_links(percent), f"x {kind}, y {kind}")
+    near = rows.select("node", "block", "asks", "rep", "c", "sig", "members").mapInArrow(_block_links(percent), "x long, y long")
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -295,20 +302,21 @@ def _block_links(percent: int):
                                 done.add(comps[m])
                                 out.append((rep[k], reps[m]))
             cols = list(zip(*out, strict=True)) or [(), ()]
-            kind = b.schema.field("rep").type
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], kind)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["x", "y"])
 
     return run
 
 
-def _members(store: Stored, docs: DataFrame, wanted: DataFrame, kind: str, words: int) -> DataFrame:
-    """(rep, members): the whole shingle sets of the wanted documents."""
-    return store.keep(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows(words), f"rep {kind}, members binary").dropDuplicates(["rep"]))
+def _members(store: Stored, docs: DataFrame, vertices: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, members): the whole shingle sets of the wanted vertices, from one document of each."""
+    wanted = vertices.join(wanted, "rep", "left_semi").select(F.col("rep").alias("v"), "doc_id", "uid")
+    texts = docs.join(wanted, ["doc_id", "uid"]).select("v", "text")
+    return store.keep(texts.mapInArrow(_set_rows(words), "rep long, members binary").dropDuplicates(["rep"]))
 
 
-def _confirmed(members: DataFrame, pairs: DataFrame, kind: str, percent: int) -> DataFrame:
+def _confirmed(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(members.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a").join(members.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
-    return joined.select("a", "b", "ma", "mb").mapInArrow(_confirm(percent), f"a {kind}, b {kind}")
+    return joined.select("a", "b", "ma", "mb").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
