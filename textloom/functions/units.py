@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 #: hold between any letters and digits, and CJK text is not cut into characters.
 WORD_RE = r"[\p{L}\p{N}_]+(?:['.][\p{L}\p{N}_]+)*"
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
-#: The sentence delimiters.
-DELIMITERS = "..۔܁܂።᙮᠃᠉。..꓿꘎｡?¿;՞؟፧⁇⁈⁉≟⍰⸮꘏!¡՜߹႟᥄‼؟⁈܀፨"
+#: The sentence delimiters; \u037e is the Greek question mark, which looks like a semicolon.
+DELIMITERS = "..۔܁܂።᙮᠃᠉。..꓿꘎｡?¿\u037e՞؟፧⁇⁈⁉≟⍰⸮꘏!¡՜߹႟᥄‼؟⁈܀፨"
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,13 +71,19 @@ def ratio(a, b, otherwise: float | None = None) -> Column:
     return out if otherwise is None else F.coalesce(out, F.lit(otherwise))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x) with x computed once: inside a lambda, a column is computed again for each element."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def runs_once(ws: Column) -> Column:
     """The words without those equal to the one before."""
-    return F.filter(ws, lambda w, i: (i == 0) | (w != F.get(ws, i - 1)))
+    return bound(ws, lambda xs: F.filter(xs, lambda w, i: (i == 0) | (w != F.get(xs, i - 1))))
 
 
 def ngrams(ws: Column, n: int, inclusive: bool = True) -> Column:
-    """The n-grams of an array of words, joined by spaces; not inclusive: without the last one."""
+    """The n-grams of an array of words, joined by spaces; not inclusive: without the last one. ws is read
+    for each of them, so it should be `bound`."""
     last = F.size(ws) - n + (1 if inclusive else 0)
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.array_join(F.slice(ws, k, n), " "))).otherwise(F.array().cast("array<string>"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import units as U
@@ -17,8 +17,7 @@ def ngrams(df: DataFrame, col: str = "line", min_size: int = 1, max_size: int =
     """(ngram, n) over parts between single spaces, sizes min_size to max_size (compat: below max_size,
     and without each line's last), of more than filter_below occurrences; the top_n most frequent."""
     sizes = range(min_size, max_size if compat else max_size + 1)
-    ws = U.space_tokens(col)
-    grams = df.select(F.explode(F.concat(*(U.ngrams(ws, n, not compat) for n in sizes))).alias("ngram"))
+    grams = df.select(F.explode(U.bound(U.space_tokens(col), lambda ws: F.concat(*(U.ngrams(ws, n, not compat) for n in sizes)))).alias("ngram"))
     out = grams.groupBy("ngram").agg(F.count("*").alias("n")).filter(F.col("n") > filter_below)
     return out if top_n is None else out.orderBy(F.desc("n"), "ngram").limit(top_n)
 
@@ -62,6 +61,28 @@ def mean_rescale(df: DataFrame, col: str, name: str = "rescaled") -> DataFrame:
 
 
 def batch_by_size(df: DataFrame, order: list[str], size_col: str, limit: int = 4999, group: str | None = None) -> DataFrame:
-    """Adds `batch`: consecutive rows of a group (of all, without one) by their running size over limit."""
-    w = Window.partitionBy(*([group] if group else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("batch", F.floor((F.sum(size_col).over(w) - F.col(size_col)) / limit))
+    """Adds `batch`: consecutive rows of a group, packed greedily. A row that would bring a batch to `limit`
+    or over begins the next one, so only a single row can be as large.
+
+    Which rows are together depends on all rows before, so a group is one stream through one task, with
+    bounded memory; without a group all rows are one. Null sizes count as 0.
+    """
+    names = df.columns
+
+    def run(batches):
+        at, batch, held = None, 0, 0
+        for pdf in batches:
+            out = []
+            for g, n in zip(pdf["__g"], pdf["__n"], strict=True):
+                if g != at:
+                    at, batch, held = g, 0, 0
+                if held and held + n >= limit:
+                    batch, held = batch + 1, 0
+                held += n
+                out.append(batch)
+            yield pdf[names].assign(batch=out)
+
+    # a null group is one, too
+    x = df.withColumn("__g", F.coalesce(F.col(group).cast("string"), F.lit("\u0000")) if group else F.lit("")).withColumn("__n", F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
+    x = x.repartition("__g").sortWithinPartitions("__g", *order)
+    return x.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", batch long")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import units as U
+from ..sources.files import shared_folder
 from .joins import small
 
 
@@ -35,10 +36,7 @@ def curriculum(df: DataFrame, id_cols: list[str], col: str = "line", existing: D
     if existing is not None:
         words = words.join(small(existing.select("word").distinct()), "word", "left_anti")
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    shared_folder(spark)
     out: list[list[str]] = []
     total = start
     while max_rounds is None or len(out) < max_rounds:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import units as U
@@ -64,19 +64,26 @@ def parse_request(x) -> tuple:
 
 
 def overlap_join(df: DataFrame, id_col: str, ws) -> DataFrame:
-    """(a, b, overlap) for pairs a < b of rows that share a word; overlap counts the shared distinct words.
+    """(a, b, overlap) for pairs a < b of rows that share a word; overlap is one more than the number of
+    shared distinct words.
 
     An equi-join on exploded words, so pairs without a common word are never formed.
     """
     x = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(ws)).alias("word"))
     pairs = x.select(F.col("id").alias("a"), "word").join(x.select(F.col("id").alias("b"), "word"), "word").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    return pairs.groupBy("a", "b").agg((F.count("*") + 1).alias("overlap"))
+
+
+#: Rows that all pairs of are compared at most.
+MAX_PAIRED = 5000
 
 
 def pairwise_diff(pairs: DataFrame) -> DataFrame:
     """(p1, p2, score): evidence that word p1 of one side matches p2 of the other, over all i < j of pairs
     (id, lw array, rw array): words that two rows share on both sides, or that both lack, speak for it,
     mixed ones against it."""
+    if (n := pairs.count()) > MAX_PAIRED:
+        raise ValueError(f"{n} rows; all pairs are compared for up to {MAX_PAIRED}")
     a, b = (pairs.select(F.col("id").alias(f"id{k}"), F.array_distinct("lw").alias(f"l{k}"), F.array_distinct("rw").alias(f"r{k}")) for k in "ab")
     x = a.join(b, F.col("ida") < F.col("idb"))
     x = x.select(F.array_except("la", "lb").alias("dl"), F.array_except("ra", "rb").alias("dr"), F.array_intersect("la", "lb").alias("sl"), F.array_intersect("ra", "rb").alias("sr"))
@@ -87,3 +94,14 @@ def pairwise_diff(pairs: DataFrame) -> DataFrame:
         y = x.filter((F.size(p) > 0) & (F.size(q) > 0)).withColumn("w", weight()).select(F.explode(p).alias("p1"), q, "w").select("p1", F.explode(q).alias("p2"), "w")
         out = y if out is None else out.unionByName(y)
     return out.groupBy("p1", "p2").agg(F.sum("w").alias("score"))
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str, name: str = "value") -> DataFrame:
+    """left with `name`: the value of the right row of the same key with the latest time not after the left
+    row's; of equal times the largest value; null without one. One exchange on the key, no pairs."""
+    kept = [F.col(c) for c in left.columns]
+    a = left.select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.struct(*kept).alias("__row"))
+    b = right.select(F.col(key).alias("__k"), F.col(time).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
+    w = Window.partitionBy("__k").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = a.unionByName(b).withColumn(name, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1")
+    return x.select("__row.*", name)

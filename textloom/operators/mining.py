@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units as U
 from .joins import pairwise_diff, small
-from .rank import unique_by
+from .rank import global_rank, unique_by
 
 
 def rake(df: DataFrame, stopwords: DataFrame, id_cols: list[str], col: str = "line", minimum_score: float = 0.0, top_n: int | None = None) -> DataFrame:
@@ -32,13 +32,46 @@ def _sentences(text: str, low: int, high: int) -> list[tuple[int, str]]:
     return [(i, s) for i, s in enumerate((text or "").split(".")) if low <= len(s.encode()) <= high]
 
 
-def _incidence(sentences: list[tuple[int, str]]) -> np.ndarray:
-    vocabulary: dict[str, int] = {}
-    ids = [[vocabulary.setdefault(w, len(vocabulary)) for w in set(s.split())] for _, s in sentences]
-    m = np.zeros((len(ids), len(vocabulary)), np.float32)
-    for i, x in enumerate(ids):
-        m[i, x] = 1
-    return m
+#: Cells of a dense matrix of sentences and words; longer texts are counted by lists of the sentences of a word.
+DENSE = 4_000_000
+
+
+class _Shared:
+    """How many words, weighted, each sentence shares with all others, sentence by sentence.
+
+    Memory is linear in the text: a dense matrix only up to DENSE cells.
+    """
+
+    def __init__(self, sentences: list[tuple[int, str]], weights: dict[str, float] | None = None):
+        vocabulary: dict[str, int] = {}
+        self.ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in set(s.split())], np.int64) for _, s in sentences]
+        self.n = len(sentences)
+        self.weight = np.ones(len(vocabulary), np.float32)
+        for w, x in (weights or {}).items():
+            if w in vocabulary:
+                self.weight[vocabulary[w]] = x
+        self.dense = self.holders = None
+        if self.n * len(vocabulary) <= DENSE:
+            self.dense = np.zeros((self.n, len(vocabulary)), np.float32)
+            for i, x in enumerate(self.ids):
+                self.dense[i, x] = 1
+        else:
+            word, at = np.concatenate(self.ids), np.repeat(np.arange(self.n), [len(x) for x in self.ids])
+            order = np.argsort(word, kind="stable")
+            self.holders = np.split(at[order], np.cumsum(np.bincount(word, minlength=len(vocabulary)))[:-1])
+
+    def __iter__(self):
+        """(first sentence, counts with all sentences) in blocks of rows."""
+        if self.dense is not None:
+            right = (self.dense * self.weight).T
+            for a in range(0, self.n, 256):
+                yield a, self.dense[a : a + 256] @ right
+        else:
+            for i, words in enumerate(self.ids):
+                row = np.zeros((1, self.n), np.float32)
+                for w in words.tolist():
+                    row[0, self.holders[w]] += self.weight[w]
+                yield i, row
 
 
 def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_n: int = 3, length_penalty: float = 0.75, density: float = 2.6, bias: tuple[str, ...] = (), bias_strength: float = 2.0, low: int = 12, high: int = 169) -> DataFrame:
@@ -53,25 +86,11 @@ def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 s = _sentences(t, low, high)
                 if len(s) < 2:
                     continue
-                m = _incidence(s)
-                if bias:
-                    vocabulary: dict[str, int] = {}
-                    for _, x in s:
-                        for w in set(x.split()):
-                            vocabulary.setdefault(w, len(vocabulary))
-                    weight = np.ones(m.shape[1], np.float32)
-                    for w in bias:
-                        if w in vocabulary:
-                            weight[vocabulary[w]] = bias_strength
-                    right = m * weight
-                else:
-                    right = m
                 size = np.array([len(x.encode()) for _, x in s], float)
                 score = np.zeros(len(s))
-                for a in range(0, len(s), 256):
-                    block = (m[a : a + 256] @ right.T).astype(float)
-                    block *= np.arange(len(s))[None, :] > np.arange(a, min(a + 256, len(s)))[:, None]
-                    score[a : a + 256] = (block**density).sum(1)
+                for a, block in _Shared(s, dict.fromkeys(bias, bias_strength)):
+                    after = np.arange(len(s))[None, :] > np.arange(a, a + len(block))[:, None]
+                    score[a : a + len(block)] = (np.where(after, block, 0).astype(float) ** density).sum(1)
                 score /= size**length_penalty
                 for i in sorted(np.flatnonzero(score > 0).tolist(), key=lambda k: (-round(score[k], 9), s[k][0]))[:top_n]:
                     rows.append((d, s[i][0], float(score[i])))
@@ -93,13 +112,12 @@ def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str =
                 s = _sentences(t, low, 1 << 40)
                 if len(s) < 2:
                     continue
-                m = _incidence(s)
                 common = np.array([(len(want & set(x.split())) + 1.0) ** 3 for _, x in s])
                 score = np.zeros(len(s))
-                for a in range(0, len(s), 256):
-                    near = (m[a : a + 256] @ m.T) > 0
+                for a, block in _Shared(s):
+                    near = block > 0
                     near[np.arange(len(near)), np.arange(a, a + len(near))] = False
-                    score[a : a + 256] = near @ common
+                    score[a : a + len(near)] = near @ common
                 score /= np.array([len(x.encode()) for _, x in s], float)
                 for i in sorted(np.flatnonzero(score > 0).tolist(), key=lambda k: (-round(score[k], 9), s[k][0]))[:top_n]:
                     rows.append((d, s[i][0], float(score[i])))
@@ -122,7 +140,9 @@ def word_align(pairs: DataFrame, missing: float = -10_000.0) -> DataFrame:
 
 
 def encode_words(df: DataFrame, id_cols: list[str], col: str = "line") -> tuple[DataFrame, DataFrame]:
-    """(id columns, words array) and (word, word_id): word sets of lines, and a dictionary of stable ids."""
+    """(id columns, words array) and (word, word_id): word sets of lines, and a dictionary with a number for
+    each word, its position in the order of words."""
     sets = df.select(*id_cols, F.array_sort(F.array_distinct(U.words(col))).alias("words"))
-    dictionary = sets.select(F.explode("words").alias("word")).distinct().withColumn("word_id", F.xxhash64("word"))
+    words = sets.select(F.explode("words").alias("word")).distinct().withColumn("__same", F.lit(0))
+    dictionary = global_rank(words, "__same", "word", "word_id").drop("__same")
     return sets, dictionary

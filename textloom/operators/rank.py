@@ -12,21 +12,36 @@ from .aggregate import char_range, doc_freq_weight, vocabulary
 from .joins import small
 
 
-def global_rank(df: DataFrame, key: str, tie: str, name: str = "rank", descending: bool = False, splits: int = 64) -> DataFrame:
-    """Adds the 0-based position by a number, then by tie; nulls and NaN last.
+#: Rows that are numbered in one task, and rows that range borders are chosen from, about.
+RANGE_ROWS, SAMPLED = 200_000, 20_000
 
-    Rows are cut at approximate quantiles into ranges, numbered in each, and shifted by the counts of the
-    ranges before, so no task sees all rows.
+
+def global_rank(df: DataFrame, key: str, tie: str, name: str = "rank", descending: bool = False, group: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Adds the 0-based position by a number, then by tie; nulls and NaN last; within each group, if given.
+
+    Rows are cut into ranges of about range_rows rows by (group, number, tie), so equal numbers are spread
+    over ranges like others, numbered in each range, and shifted by the counts of the ranges before. The
+    borders are chosen from about SAMPLED rows; no task sees all rows.
     """
     v = F.when(F.isnan(F.col(key).cast("double")), None).otherwise(F.col(key).cast("double"))
-    x = df.withColumn("__v", -v if descending else v)
-    cuts = sorted(set(x.filter("__v IS NOT NULL").approxQuantile("__v", [i / splits for i in range(1, splits)], 0.001)))
-    bucket = F.when(F.col("__v").isNull(), F.lit(splits)).otherwise(F.size(F.filter(F.lit(cuts), lambda q: q <= F.col("__v"))) if cuts else F.lit(0))
+    v = -v if descending else v
+    x = df.withColumn("__o", F.struct((F.col(group) if group else F.lit(0)).alias("g"), v.isNull().alias("none"), F.coalesce(v, F.lit(0.0)).alias("v"), F.col(tie).alias("t")))
+    splits = (n := x.count()) // range_rows + 1
+    bucket = F.lit(0)
+    if splits > 1:
+        every = max(1, n // SAMPLED)
+        sample = sorted({tuple(r[0]) for r in x.filter(F.pmod(F.xxhash64("__o"), F.lit(every)) == 0).select("__o").filter("__o.t IS NOT NULL").collect()})
+        cuts = sorted({sample[i * len(sample) // splits] for i in range(1, splits)}) if sample else []
+        kind = df.sparkSession.createDataFrame([(cuts,)], f"__cuts array<{x.schema['__o'].dataType.simpleString()}>")
+        x = x.crossJoin(F.broadcast(kind))  # one row with a border for each range
+        bucket = F.size(F.filter("__cuts", lambda c: c <= F.col("__o")))
     x = x.withColumn("__b", bucket)
-    counts = x.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__at"))  # at most splits + 1 rows
-    nth = F.row_number().over(Window.partitionBy("__b").orderBy(F.col("__v").asc_nulls_last(), tie))
-    return x.withColumn("__i", nth).join(F.broadcast(before), "__b").withColumn(name, F.col("__at") + F.col("__i") - 1).drop("__v", "__b", "__i", "__at")
+    counts = x.groupBy("__o.g", "__b").agg(F.count("*").alias("__n"))
+    # a row for each range, and for each group that a range holds
+    before = counts.select(F.col("g").alias("__g"), F.col("__b").alias("__b2"), (F.sum("__n").over(Window.partitionBy("g").orderBy("__b")) - F.col("__n")).alias("__at"))
+    nth = F.row_number().over(Window.partitionBy("__b", "__o.g").orderBy("__o"))
+    x = x.withColumn("__i", nth).join(F.broadcast(before), F.col("__o.g").eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__b2")))
+    return x.select(*df.columns, (F.col("__at") + F.col("__i") - 1).alias(name))
 
 
 def keep_first(df: DataFrame, key: list, order: list[str]) -> DataFrame:
@@ -70,12 +85,12 @@ def _both(f: Callable[[str], Column]) -> Column:
 
 
 def redundancy() -> Column:
-    return _both(lambda s: U.ratio(F.size(U.runs_once(U.cased_words(s))), F.size(U.cased_words(s))))
+    return _both(lambda s: U.bound(U.cased_words(s), lambda xs: U.ratio(F.size(U.runs_once(xs)), F.size(xs))))
 
 
 def translated_partial() -> Column:
     ws = F.concat(U.cased_words("l"), U.cased_words("r"))
-    return 1 - U.ratio(F.size(U.runs_once(ws)), F.size(ws))
+    return U.bound(ws, lambda xs: 1 - U.ratio(F.size(U.runs_once(xs)), F.size(xs)))
 
 
 def nonalphabetic() -> Column:
@@ -131,13 +146,14 @@ def quality_rank(pairs: DataFrame, scorers: list[str], k_top: float = 0.75) -> D
     df = pairs.select("id", "l", "r")
     for name in scorers:
         df = FITTED[name](df) if name in FITTED else df.withColumn(name, F.round(PAIR_SCORERS[name](), 9))
-    total = F.lit(0).cast("long")
-    for name in scorers:
-        df = global_rank(df, name, "id", f"__r_{name}", descending=True).persist()  # each ranking reads its input three times
-        total = total + F.col(f"__r_{name}")
+    total = pairs.select("id", F.lit(0).cast("long").alias("total"))
+    if scorers:
+        # all scores as rows of one table, which is ranked once; it is read three times
+        long = df.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("scorer"), F.col(n).cast("double").alias("score")) for i, n in enumerate(scorers)))).alias("x")).select("id", "x.*").persist()
+        total = global_rank(long, "score", "id", "at", descending=True, group="scorer").groupBy("id").agg(F.sum("at").alias("total"))
     n = int(pairs.count() * k_top)
-    df = global_rank(df.select("id", "l", "r", total.alias("total")), "total", "id", "__at")
-    return df.filter(F.col("__at") < n).drop("__at")
+    best = global_rank(total, "total", "id", "__at").filter(F.col("__at") < n).select("id", "total")
+    return pairs.select("id", "l", "r").join(best, "id")
 
 
 def unique_by(scored: DataFrame, first: str = "p1", second: str = "p2", score: str = "score") -> DataFrame:

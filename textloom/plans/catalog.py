@@ -25,7 +25,7 @@ IDS = ["doc_id", "line_no"]
 
 LINES = "lines AS (SELECT doc_id, unnest(range(len(s))) AS line_no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))"
 PAIRS = "pairs AS (SELECT conv_id * 1000 + turn AS id, replace(text, chr(10), ' ') AS l, replace(reply, chr(10), ' ') AS r FROM (SELECT *, lead(role) OVER w AS nxt, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nxt = 'assistant')"
-WORD = U.WORD_RE.replace("'", "''")
+WORD = r"[\p{L}\p{N}_]+(?:[''.][\p{L}\p{N}_]+)*"
 PUNCT = r"[!-/:-@\[-`{-~]"
 
 
@@ -128,6 +128,13 @@ def kv_list(spark, d):
     return S.kv_list(S.kv_put(e.limit(0), e))
 
 
+@query("SELECT event_type AS bucket, user_id AS key, arg_max(props, event_id) AS value FROM events JOIN customer ON c_custkey = user_id GROUP BY ALL")
+def kv_bucket(spark, d):
+    e = t(spark, d, "events").select(F.col("event_type").alias("bucket"), F.col("user_id").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
+    asked = e.join(t(spark, d, "customer").select(F.col("c_custkey").alias("key")), "key").select("bucket", "key").distinct()
+    return S.kv_get(S.kv_put(e.limit(0), e, "bucket"), asked, bucket="bucket")
+
+
 @query("""WITH q AS (SELECT event_id AS seq, user_id AS key, CASE WHEN event_id % 3 <> 0 THEN event_type END AS value FROM events),
  l AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM q)
  SELECT seq, last IS NOT NULL AS was_success, CASE WHEN last IS NULL THEN 'not found' END AS err, CASE WHEN value IS NULL THEN last END AS val FROM l""")
@@ -172,7 +179,8 @@ def column_spec(spark, d):
     return P.select_columns(x, "2 ..2 1..")
 
 
-_DELIM = "".join(sorted(set(U.DELIMITERS))).replace("?", r"\?").replace(".", r"\.").replace("'", "''")
+#: Fixed values, by code point.
+_DELIM = "!\\?\\.\u00a1\u00bf\u037e\u055c\u055e\u061f\u06d4\u0700\u0701\u0702\u07f9\u109f\u1362\u1367\u1368\u166e\u1803\u1809\u1944\u203c\u2047\u2048\u2049\u225f\u2370\u2e2e\u3002\ua4ff\ua60e\ua60f\uff61"
 
 
 @query(f"""WITH {LINES}, s AS (SELECT doc_id, line_no, unnest(string_split(regexp_replace(line, '([{_DELIM}])', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM lines)
@@ -204,9 +212,13 @@ def pinyin(spark, d):
     return P.pinyin(t(spark, d, "nation"), words, "n_name").select("n_nationkey", "pinyin")
 
 
+#: What a pattern adds to the syllables of a word.
+_SYLLABLES = [(1, "[aeiuo]+"), (1, "[dlmnrstz]y"), (-1, "[aiou][b-df-hj-np-rs-v-z]e"), (1, "[aiou][cs]es"), (-1, "aste"), (-1, "apse"), (1, "[^b-df-hj-np-tv-z]ted$"), (-1, "e[rsvy]e"), (1, "d[nv]"), (-1, "elve[^t]"), (1, "eing")]
+
+
 def _syllables_sql(x: str) -> str:
     w = rf"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_\s]', '', 'g')"
-    return "greatest(0, " + " + ".join(f"({k}) * {count_sql(w, p)}" for k, p in P.SYLLABLES) + ")"
+    return "greatest(0, " + " + ".join(f"({k}) * {count_sql(w, p)}" for k, p in _SYLLABLES) + ")"
 
 
 @query(f"WITH {LINES}, w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(line), '[^\\p{{L}}]+'), lambda x: x <> '')) AS word FROM lines) SELECT word, CAST({_syllables_sql('word')} AS BIGINT) AS syllables FROM w")
@@ -384,7 +396,7 @@ def focus_query(spark, d):
     return J.focus_queries(lines(spark, d), requests, IDS).select("request_id", *IDS)
 
 
-@query(f"WITH w AS (SELECT DISTINCT item_id, unnest({words_sql('text')}) AS word FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, count(*) AS overlap FROM w a JOIN w b ON a.word = b.word AND a.item_id < b.item_id GROUP BY ALL")
+@query(f"WITH w AS (SELECT DISTINCT item_id, unnest({words_sql('text')}) AS word FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, count(*) + 1 AS overlap FROM w a JOIN w b ON a.word = b.word AND a.item_id < b.item_id GROUP BY ALL")
 def overlap_join(spark, d):
     return J.overlap_join(t(spark, d, "benchmark"), "item_id", U.words("text"))
 
@@ -472,7 +484,9 @@ def mean_rescale(spark, d):
     return A.mean_rescale(t(spark, d, "part"), "p_retailprice").select("p_partkey", F.round("rescaled", 6).alias("rescaled"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no, CAST((sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) - strlen(line) - 1) // 1000 AS BIGINT) AS batch FROM lines")
+@query(f"""WITH RECURSIVE {LINES}, l AS (SELECT doc_id, line_no, strlen(line) + 1 AS n FROM lines),
+ b AS (SELECT doc_id, line_no, n AS held, 0 AS batch FROM l WHERE line_no = 0 UNION ALL SELECT l.doc_id, l.line_no, CASE WHEN held > 0 AND held + n >= 1000 THEN n ELSE held + n END, CASE WHEN held > 0 AND held + n >= 1000 THEN batch + 1 ELSE batch END FROM b JOIN l ON l.doc_id = b.doc_id AND l.line_no = b.line_no + 1)
+ SELECT doc_id, line_no, CAST(batch AS BIGINT) AS batch FROM b""")
 def batch_by_size(spark, d):
     x = lines(spark, d).withColumn("n", U.n_bytes("line") + 1)
     return A.batch_by_size(x, ["line_no"], "n", 1000, "doc_id").select(*IDS, "batch")
@@ -528,6 +542,11 @@ def pair_scores(spark, d):
     return pairs(spark, d).select("id", *(F.round(F.round(f(), 9), 6).alias(n) for n, f in R.PAIR_SCORERS.items()))
 
 
+@query(f"WITH {PAIRS} SELECT id, round(" + " + ".join(f"CASE WHEN len({cased_sql(x)}) = 12 THEN 'inf'::DOUBLE ELSE 1.0::DOUBLE / abs(len({cased_sql(x)}) - 12) END" for x in "lr") + ", 9) AS score FROM pairs")
+def ideal_length(spark, d):
+    return pairs(spark, d).select("id", F.round(R.ideal_length(12), 9).alias("score"))
+
+
 _RANKED = ["redundancy", "translated_partial", "nonalphabetic", "penalise_capitals", "well_formed", "length_difference"]
 
 
@@ -654,20 +673,20 @@ def encode_words(spark, d):
 
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_dedup(spark, d):
-    out = ST.drain(ST.dedup_stream(ST.table_stream(spark, f"{d}/events.parquet").select("user_id", "event_type"), ["user_id", "event_type"]), ST.shared_folder(spark))
+    out = ST.drain(ST.dedup_stream(ST.table_stream(spark, f"{d}/events.parquet").select("user_id", "event_type"), ["user_id", "event_type"]))
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id")
 def stream_kv(spark, d):
     e = ST.table_stream(spark, f"{d}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq"))
-    return ST.drain(ST.kv_stream(e), ST.shared_folder(spark)).groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+    return ST.drain(ST.kv_stream(e)).groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_no FROM lines WHERE strlen(line) > 200")
 def stream_lines(spark, d):
     docs = ST.table_stream(spark, f"{d}/documents.parquet")
-    return ST.drain(U.lines(docs).filter(F.octet_length("line") > 200).select(*IDS), ST.shared_folder(spark))
+    return ST.drain(U.lines(docs).filter(F.octet_length("line") > 200).select(*IDS))
 
 
 # ---- relational coverage beyond text
@@ -686,3 +705,30 @@ def row_sets(spark, d):
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, d):
     return t(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("hour"), "n")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube(spark, d):
+    return t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("qty"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS middle, round(quantile_cont(l_extendedprice, 0.9), 4) AS high FROM lineitem GROUP BY l_returnflag")
+def percentiles(spark, d):
+    return t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", F.lit(0.5)), 4).alias("middle"), F.round(F.percentile("l_extendedprice", F.lit(0.9)), 4).alias("high"))
+
+
+@query("SELECT c_custkey, s_suppkey, coalesce(c_nationkey, s_nationkey) AS nation FROM customer FULL OUTER JOIN supplier ON c_custkey = s_suppkey AND c_nationkey = s_nationkey")
+def outer_join(spark, d):
+    c, s = t(spark, d, "customer"), t(spark, d, "supplier")
+    return c.join(s, (c.c_custkey == s.s_suppkey) & (c.c_nationkey == s.s_nationkey), "full").select("c_custkey", "s_suppkey", F.coalesce("c_nationkey", "s_nationkey").alias("nation"))
+
+
+@query("SELECT l.event_id, max(r.event_id) FILTER (WHERE r.ts = m) AS before FROM (SELECT l.event_id, l.user_id, max(r.ts) AS m FROM events l LEFT JOIN events r ON r.user_id = l.user_id AND r.event_id % 2 = 1 AND r.ts <= l.ts WHERE l.event_id % 2 = 0 GROUP BY ALL) l LEFT JOIN events r ON r.user_id = l.user_id AND r.event_id % 2 = 1 AND r.ts = m GROUP BY l.event_id")
+def asof_join(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "ts")
+    return J.asof_join(e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), "user_id", "ts", "event_id", "before").select("event_id", "before")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR lag(ts) OVER w + INTERVAL 1 DAY <= ts THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, s")
+def session_windows(spark, d):
+    return t(spark, d, "events").groupBy("user_id", F.session_window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("began"), "n")

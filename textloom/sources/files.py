@@ -68,19 +68,23 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, text_tag: str = "text
     return wiki_text(rows.select(F.col(text_tag).alias("text")), "text")
 
 
-def kv_put(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """A key-value table (key, value, seq) after puts (key, value, seq): the last value of a key stays."""
-    both = table.select("key", "value", "seq").unionByName(rows.select("key", "value", "seq"))
-    return both.groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
+def kv_put(table: DataFrame, rows: DataFrame, bucket: str | None = None) -> DataFrame:
+    """A key-value table (key, value, seq) after puts (key, value, seq): the last value of a key stays.
+    With a column for buckets, a key is one of its bucket."""
+    names = [*([bucket] if bucket else []), "key"]
+    both = table.select(*names, "value", "seq").unionByName(rows.select(*names, "value", "seq"))
+    return both.groupBy(*names).agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
-def kv_get(table: DataFrame, keys: DataFrame, missing: str = "Not found") -> DataFrame:
-    """(key, value) for each asked key."""
-    return keys.select("key").join(table.select("key", "value"), "key", "left").select("key", F.coalesce("value", F.lit(missing)).alias("value"))
+def kv_get(table: DataFrame, keys: DataFrame, missing: str = "Not found", bucket: str | None = None) -> DataFrame:
+    """(key, value) for each asked key, of its bucket if there are buckets."""
+    names = [*([bucket] if bucket else []), "key"]
+    return keys.select(*names).join(table.select(*names, "value"), names, "left").select(*names, F.coalesce("value", F.lit(missing)).alias("value"))
 
 
-def kv_list(table: DataFrame) -> DataFrame:
-    return table.select("key")
+def kv_list(table: DataFrame, bucket: str | None = None, of=None) -> DataFrame:
+    """The keys, or those of one bucket."""
+    return (table.filter(F.col(bucket) == F.lit(of)) if bucket else table).select("key")
 
 
 def kv_requests(requests: DataFrame, col: str = "request", seq: str = "seq") -> DataFrame:
@@ -108,3 +112,11 @@ def prompt(template: str, *cols: str):
     for x in cols:
         out = F.replace(out, F.lit("{" + x + "}"), F.coalesce(F.col(x).cast("string"), F.lit("")))
     return out
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; below the warehouse where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return (at or spark.sparkContext.getCheckpointDir()).rstrip("/")

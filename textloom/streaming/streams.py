@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.files import shared_folder
+
 
 def line_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """The lines of text files as they appear in a folder."""
@@ -47,19 +49,8 @@ def kv_stream(df: DataFrame) -> DataFrame:
     return df.select("key", "value", "seq").groupBy("key").applyInPandasWithState(step, f"key {kind}, value string, seq long", "value string, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(df: DataFrame, root: str) -> DataFrame:
-    """Runs an append stream over all that is there and returns what it wrote below root, a shared folder."""
-    at = f"{root}/textloom-stream-{uuid.uuid4().hex}"
+def drain(df: DataFrame, root: str | None = None) -> DataFrame:
+    """Runs an append stream over all that is there and returns what it wrote below root (by default the shared folder)."""
+    at = f"{root or shared_folder(df.sparkSession)}/textloom-stream-{uuid.uuid4().hex}"
     df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/log").option("path", f"{at}/rows").trigger(availableNow=True).start().awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{at}/rows")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not at:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
