@@ -44,8 +44,26 @@ def test_suffix_dedup(spark):
                 gone[p : p + 400] = 1
         kept = bytes(x for x, g in zip(b, gone, strict=False) if not g)
         want.append((d, len(b), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).drop("spans")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.repeated_spans(frame).drop("spans")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    # passages: strings of 256 bytes that a second row holds
+    holds = Counter(x for i, b in enumerate(data) for x in {b[p : p + 256] for p in range(len(b) - 255)})
+    passages = []
+    for b in data:
+        gone = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - 255):
+            if holds[b[p : p + 256]] > 1:
+                gone[p : p + 256] = 1
+        at = np.flatnonzero(np.diff(gone, prepend=0, append=0)).reshape(-1, 2)
+        found = [e - s for s, e in at.tolist() if len(b[s:e].split()) >= 9]
+        passages.append((len(found), sum(found)))
+    got = suffix_dedup.repeated_spans(frame, passages=(256, 9)).drop("spans")
+    found = sorted(map(tuple, got.collect()), key=repr)
+    assert [x[:5] for x in found] == sorted(want, key=repr)
+    # repeated rows, those of id 7, are one document and have no passage of another
+    expected = sorted((x + y for x, y in zip(want, passages, strict=True)), key=repr)
+    assert [x for x in found if x[0] != 7] == [x for x in expected if x[0] != 7]
     assert suffix_dedup.repeated_spans(odd(spark)).count() == 5 and suffix_dedup.repeated_spans(empty(spark)).count() == 0
 
 
@@ -73,9 +91,9 @@ def test_runs_of_several_chunks():
         ids = random.sample(range(m), m)
         return pa.RecordBatch.from_pylist([{"slot": {"i": first + k, "u": 0}, "z": z.compress(texts[k]), "spots": [{"h": 0, "a": 10, "lo": 0, "hi": 10}]} for k in ids])
 
-    runs = [b for x in (batch(0, n), batch(n, n + 700)) for b in suffix_dedup._runs(40, 1)(iter([x]))]
+    runs = [b for x in (batch(0, n), batch(n, n + 700)) for b in suffix_dedup._runs(40, 40, 1)(iter([x]))]
     assert [b.num_rows for b in runs] == [3, 3]
-    spans = [x for b in suffix_dedup._merge(40, 20)(iter(runs)) for x in b.to_pylist()]
+    spans = [x for b in suffix_dedup._merge([(40, False)], 21)(iter(runs)) for x in b.to_pylist()]
     assert sorted((x["slot_id"], x["s"], x["e"]) for x in spans) == [(i, 0, 50) for i in range(2 * n)]
 
 

@@ -15,6 +15,8 @@ only anchors' suffixes need sorting, about 2 in `window` of all.
    no known prefix is read again, and the shared prefixes of neighbours come out with the order.
 4. In the merged order a window that starts o bytes before its anchor is repeated exactly if another
    suffix shares its span - o bytes (no smaller neighbour prefix lies between) and the o bytes before.
+
+The same order answers for a second, shorter string length, by which repeated passages are reported.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from . import vec
 from .io import Stored, as_text, small_batches, table
 
 _U = np.uint64
+_OWNER = np.dtype([("doc", "<i8"), ("uid", "<i8"), ("a", "<i4")])
 #: Entries of a front-coded run that travel together, and merged entries that are resolved together.
 CHUNK, RESOLVE = 4000, 20_000
 
@@ -125,8 +128,9 @@ def _unpack_run(blob: bytes) -> Iterator[tuple[int, bytes, bytes, int, bytes, in
         at += 20 * k
 
 
-def _runs(span: int, buckets: int, limit: int = 40_000):
-    """Rows (bucket, run, chunk, blob) of sorted front-coded suffixes, from texts with their anchors."""
+def _runs(span: int, reach: int, buckets: int, limit: int = 40_000):
+    """Rows (bucket, run, chunk, blob) of sorted front-coded suffixes, from texts with their anchors; a
+    suffix ends reach bytes after the last start that its anchor stands for."""
 
     def run(batches):
         import uuid
@@ -150,7 +154,7 @@ def _runs(span: int, buckets: int, limit: int = 40_000):
                 text = zstandard.ZstdDecompressor().decompress(z)
                 for x in spots:
                     a, lo, hi = x["a"], x["lo"], x["hi"]
-                    key = (text[a : hi + span], text[lo:a], a - hi)
+                    key = (text[a : hi + reach], text[lo:a], a - hi)
                     owner = struct.pack("<qqi", slot["i"], slot["u"], a)
                     held.setdefault(x["h"] % buckets, {}).setdefault(key, []).append(owner)
                     size += 1
@@ -227,51 +231,62 @@ class LoserTree:
                 self.tree[0] = w
 
 
-def _resolve(rows: list[tuple[int, tuple]], span: int, window: int) -> list[tuple[int, int, int]]:
-    """(row, first, last offset before the anchor) of repeated windows, for whole groups of merged rows."""
+def _resolve(rows: list[tuple[int, tuple]], span: int, apart: bool = False) -> list[tuple[int, int, int]]:
+    """(row, first, last offset before the anchor) of repeated windows of span bytes, for whole groups of
+    merged rows; apart: of those that are in two documents at least."""
     n = len(rows)
     shared = np.array([x[0] for x in rows], np.int64)
+    size = np.array([len(x[1][1]) for x in rows], np.int64)
     many = np.array([x[1][5] for x in rows], np.int64)
     near = np.array([x[1][3] for x in rows], np.int64)
     lead = np.array([len(x[1][2]) for x in rows], np.int64)
+    low = high = None
+    if apart:
+        low, high = np.empty(n, np.int64), np.empty(n, np.int64)
+        for i, x in enumerate(rows):
+            owners = np.frombuffer(x[1][4], _OWNER)
+            of = vec.mix(owners["doc"].view(_U)) ^ owners["uid"].view(_U)
+            low[i], high[i] = of.min().view(np.int64), of.max().view(np.int64)
     width = int(lead.max()) if n else 0
-    left = np.zeros((n, width), np.uint8)
+    left = np.zeros((width, n), np.uint8)
     for i, x in enumerate(rows):
-        left[i, : lead[i]] = np.frombuffer(x[1][2], np.uint8)[::-1]
+        left[: lead[i], i] = np.frombuffer(x[1][2], np.uint8)[::-1]
     q, _ = vec.powers(width + 1)
-    sums = np.zeros((n, width + 1), _U)
-    if width:
-        np.cumsum(vec._BYTE[left] * q[:width], axis=1, out=sums[:, 1:])
+    sums = np.zeros(n, _U)
     most, least = np.full(n, -1), np.full(n, -1)
     for o in range(width + 1):
-        rows_o = np.flatnonzero((near <= o) & (o <= lead))
-        if not len(rows_o):
-            continue
-        part = np.cumsum(shared < span - o)[rows_o]
-        key = vec.mix(sums[rows_o, o] ^ (part.astype(_U) * _U(0x9E3779B97F4A7C15)))
-        order = np.argsort(key)
-        k, p, cnt = key[order], part[order], many[rows_o][order]
-        begins = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]))))
-        total = np.repeat(np.add.reduceat(cnt, begins), np.diff(np.append(begins, len(k))))
-        hit = rows_o[order[total >= 2]]
-        most[hit] = o
-        least[hit[least[hit] < 0]] = o
+        rows_o = np.flatnonzero((near <= o) & (o <= lead) & (size >= span - o))
+        if len(rows_o):
+            part = np.cumsum(shared < span - o)[rows_o]
+            key = vec.mix(sums[rows_o] ^ (part.astype(_U) * _U(0x9E3779B97F4A7C15)))
+            order = np.argsort(key)
+            k, p, at = key[order], part[order], rows_o[order]
+            begins = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]))))
+            times = np.diff(np.append(begins, len(k)))
+            total = np.minimum.reduceat(low[at], begins) != np.maximum.reduceat(high[at], begins) if apart else np.add.reduceat(many[at], begins) >= 2
+            hit = at[np.repeat(total, times)]
+            most[hit] = o
+            least[hit[least[hit] < 0]] = o
+        if o < width:
+            sums += vec._BYTE[left[o]] * q[o]
     got = np.flatnonzero(most >= 0)
     return list(zip(got.tolist(), least[got].tolist(), most[got].tolist(), strict=True))
 
 
-def _merge(span: int, window: int):
-    pre = span - window + 1
+def _merge(spans_of: list[tuple[int, bool]], pre: int):
+    """Rows (slot_id, uid, kind, s, e): the repeated bytes for each (span, apart), numbered by kind; pre: the
+    bytes that suffixes which belong together share at least."""
 
     def spans(rows):
         out = []
-        for i, least, most in _resolve(rows, span, window):
-            owners = rows[i][1][4]
-            for x in range(0, len(owners), 20):
-                doc, uid, a = struct.unpack_from("<qqi", owners, x)
-                out.append((doc, uid, a - most, a - least + span))
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["slot_id", "uid", "s", "e"])
+        for kind, (span, apart) in enumerate(spans_of):
+            for i, least, most in _resolve(rows, span, apart):
+                owners = rows[i][1][4]
+                for x in range(0, len(owners), 20):
+                    doc, uid, a = struct.unpack_from("<qqi", owners, x)
+                    out.append((doc, uid, kind, a - most, a - least + span))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(cols)], ["slot_id", "uid", "kind", "s", "e"])
 
     def merged(chunks: dict[str, list[bytes]]):
         def entries(blobs):
@@ -308,18 +323,26 @@ def _shrink(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), pa.array([z.compress(x.encode()) for x in b.column("text").to_pylist()], pa.binary()), ], ["doc_id", "uid", "z"])
 
 
-def _cut(with_text: bool):
+def _joined(spans) -> list[list[int]]:
+    """Maximal runs of overlapping or touching spans, in order."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _cut(with_text: bool, least_words: int | None):
+    kinds = {"spans": pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), "kept_sha256": pa.string(), "kept": pa.binary()}
+
     def run(batches):
         for b in batches:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []} | ({"kept": []} if with_text else {})
+            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
             for z, spans in zip(b.column("z").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 text = zstandard.ZstdDecompressor().decompress(z)
-                joined: list[list[int]] = []
-                for x in sorted((y["s"], y["e"]) for y in spans or ()):
-                    if joined and x[0] <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], x[1])
-                    else:
-                        joined.append(list(x))
+                joined = _joined((y["s"], y["e"]) for y in spans or () if y["kind"] == 0)
                 kept, at = [], 0
                 for s, e in joined:
                     kept.append(text[at:s])
@@ -330,45 +353,57 @@ def _cut(with_text: bool):
                 out["n_spans"].append(len(joined))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["spans"].append([{"s": s, "e": e} for s, e in joined])
+                if least_words is not None:
+                    found = [e - s for s, e in _joined((y["s"], y["e"]) for y in spans or () if y["kind"] == 1) if len(text[s:e].split()) >= least_words]
+                    out.setdefault("n_passages", []).append(len(found))
+                    out.setdefault("passage_bytes", []).append(sum(found))
                 if with_text:
-                    out["kept"].append(kept)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")} | {k: pa.array(v, {"spans": pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), "kept_sha256": pa.string(), "kept": pa.binary()}.get(k, pa.int64())) for k, v in out.items()})
+                    out.setdefault("kept", []).append(kept)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id")} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     return run
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, window: int = 200, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, kept]): a row for each row of docs.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, window: int | None = None, with_text: bool = False, passages: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans[, n_passages, passage_bytes][, kept]): a row
+    for each row of docs.
 
     A byte is removed if some string of `span` bytes that covers it starts at any other place of the
     input too. Overlapping occurrences count; strings are judged on the input. kept holds the remaining
-    bytes, which need not be valid UTF-8 where a removed run ends inside a character.
+    bytes, which need not be valid UTF-8 where a removed run ends inside a character. With passages
+    (bytes, words), runs of bytes that strings of so many bytes cover which other documents hold too are
+    reported, not removed, if they have so many words.
 
-    Null text: empty. Texts shorter than span: untouched. Repeated rows: each repeats the other, so
-    texts of at least span bytes lose all. Null ids: taken along, the id stays null. Ids are integers.
-    Other columns are not looked at. An empty table gives an empty table.
+    Null text: empty. Texts shorter than span: untouched; very long ones are read in whole. Repeated rows:
+    each repeats the other, so texts of at least span bytes lose all. Null ids: taken along, the id stays
+    null. Ids are integers. Other columns are not looked at. An empty table gives an empty table.
     """
-    if not 8 <= window <= span - 8:
+    least = min(span, passages[0]) if passages else span
+    window = window or least // 2
+    if not 8 <= window <= least - 8:
         raise ValueError("window must leave eight bytes on either side of span")
     spark = docs.sparkSession
     small_batches(spark)
     store = Stored(spark)
     docs = as_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     docs = docs.withColumn("uid", F.xxhash64("doc_id", "text", F.lit(1)))
-    anchors = store.keep(docs.filter(F.octet_length("text") >= span).mapInArrow(_find(span, window), "doc_id long, uid long, h long, a int, lo int, hi int"))
-    again = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    spots = anchors.join(again, "h", "left_semi").groupBy("doc_id", "uid").agg(F.collect_set(F.struct("h", "a", "lo", "hi")).alias("spots"), F.count("*").alias("n"))
+    anchors = store.keep(docs.filter(F.octet_length("text") >= least).mapInArrow(_find(least, window), "doc_id long, uid long, h long, a int, lo int, hi int"))
+    # written, so that the join below reads both sides from an exchange and a common prefix can be split
+    again = store.keep(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    spots = store.keep(anchors.join(again, "h", "left_semi").groupBy("doc_id", "uid").agg(F.collect_set(F.struct("h", "a", "lo", "hi")).alias("spots")))
+    store.drop(anchors, again)
     packed = docs.mapInArrow(_shrink, "doc_id long, uid long, z binary")
     same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["uid"] == y["uid"])
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     joined = packed.alias("p").join(spots.alias("q"), same(packed, spots)).select(_slot("p"), "p.z", "q.spots")
-    runs = joined.mapInArrow(_runs(span, buckets), "bucket int, run string, chunk int, blob binary")
+    runs = joined.mapInArrow(_runs(least, max(span, least), buckets), "bucket int, run string, chunk int, blob binary")
     runs = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "chunk")
-    spans = store.keep(runs.mapInArrow(_merge(span, window), "slot_id long, uid long, s int, e int"))
-    store.drop(anchors)
-    spans = spans.groupBy("slot_id", "uid").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    wanted = [(span, False)] + ([(passages[0], True)] if passages else [])
+    spans = store.keep(runs.mapInArrow(_merge(wanted, least - window + 1), "slot_id long, uid long, kind int, s int, e int"))
+    store.drop(spots)
+    spans = spans.groupBy("slot_id", "uid").agg(F.collect_set(F.struct("kind", "s", "e")).alias("spans"))
     out = packed.alias("p").join(spans.alias("q"), (F.coalesce(F.col("p.doc_id"), F.lit(-(2**63))) == F.col("q.slot_id")) & (F.col("p.uid") == F.col("q.uid")), "left").select("p.doc_id", "p.z", "q.spans")
-    return out.mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>" + ", kept binary" * with_text)
+    return out.mapInArrow(_cut(with_text, passages[1] if passages else None), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:int,e:int>>" + ", n_passages long, passage_bytes long" * bool(passages) + ", kept binary" * with_text)
 
 
 def _slot(alias: str):
@@ -378,5 +413,6 @@ def _slot(alias: str):
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, whole texts, strings of 400 bytes."""
-    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+    """All documents, whole texts, strings of 400 bytes; beside that passages of over 50 words that other
+    documents hold too, by strings of 256 bytes, which 51 words hardly ever fall short of."""
+    return repeated_spans(table(spark, sf_dir, "documents"), passages=(256, 51)).drop("spans")
