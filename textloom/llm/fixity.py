@@ -17,6 +17,8 @@ from .io import Stored, table
 LEAF, FANOUT = 8, 16
 #: Ids to a volume.
 VOLUME = LEAF * FANOUT
+#: Ids from here down stand for records without one.
+NO_ID = -(1 << 62)
 
 
 def record(url: str = "url", key: str = "page_id", body: str = "html"):
@@ -26,8 +28,10 @@ def record(url: str = "url", key: str = "page_id", body: str = "html"):
 
 
 def manifest(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """(id, nth, size, digest): a row for each record; nth tells rows of equal id apart, in digest order."""
-    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), record(url, key, body).alias("r"))
+    """(id, nth, size, digest): a row for each record; nth tells rows of equal id apart, in digest order.
+    Records without an id get one below NO_ID by their content, so that they spread over leaves."""
+    rows = pages.select(F.col(key).cast("long").alias("id"), record(url, key, body).alias("r"))
+    rows = rows.withColumn("id", F.coalesce("id", F.lit(NO_ID) - F.pmod(F.xxhash64("r"), F.lit(1 << 40))))
     rows = rows.select("id", F.octet_length("r").cast("long").alias("size"), F.sha2("r", 256).alias("digest"))
     return rows.groupBy("id", "digest", "size").agg(F.count("*").alias("copies")).select("id", "digest", "size", "copies", F.row_number().over(Window.partitionBy("id").orderBy("digest")).alias("nth"))
 
@@ -66,8 +70,9 @@ def audit(ours: DataFrame, theirs: DataFrame, key: str = "page_id", url: str = "
     """(page_id, kind, volume, offset, size, digest): records in which the replicas differ.
 
     kind is changed, missing (of theirs) or extra (only theirs); volume, offset and size are those of our
-    record where there is one. Equal replicas give no row. Null ids count as one smallest id (null in the
-    result); null urls and bodies as empty. Repeated rows: a record that one side has more often is changed.
+    record where there is one. Equal replicas give no row. Records with a null id are told apart by their
+    content, so a change shows as one missing and one extra (page_id is null in the result); ids are above
+    NO_ID. Null urls and bodies are empty; very long ones are hashed in whole. Repeated rows: a record that one side has more often is changed.
     Other columns are not looked at. Empty tables: all records of the other side are missing or extra.
     """
     store = Stored(ours.sparkSession)
@@ -94,7 +99,7 @@ def audit(ours: DataFrame, theirs: DataFrame, key: str = "page_id", url: str = "
     other = theirs_.select("id", "nth", F.col("digest").alias("d"), F.col("copies").alias("k"), F.col("size").alias("z"))
     both = placed.join(other, ["id", "nth"], "full").filter("NOT (digest <=> d AND copies <=> k)")
     kind = F.when(F.col("d").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("changed")
-    return both.select(F.when(F.col("id") != -(2**63), F.col("id")).alias("page_id"), kind.alias("kind"), F.coalesce("volume", F.floor(F.col("id") / VOLUME)).alias("volume"), "offset", F.coalesce("size", "z").alias("size"), F.coalesce("digest", "d").alias("digest"))
+    return both.select(F.when(F.col("id") > NO_ID, F.col("id")).alias("page_id"), kind.alias("kind"), F.coalesce("volume", F.floor(F.col("id") / VOLUME)).alias("volume"), "offset", F.coalesce("size", "z").alias("size"), F.coalesce("digest", "d").alias("digest"))
 
 
 def damaged(pages: DataFrame) -> DataFrame:
