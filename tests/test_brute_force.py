@@ -197,9 +197,26 @@ def test_long_texts_are_counted_by_lists(monkeypatch):
 
     draw = np.random.RandomState(4)
     sentences = [(i, " ".join(f"w{k}" for k in draw.randint(0, 40, 9))) for i in range(300)]
-    whole = np.concatenate([b for _, b in mining._Shared(sentences, {"w3": 2.0})])
+    whole = np.concatenate([b for _, b in mining._Shared(sentences)])
     monkeypatch.setattr(mining, "DENSE", 0)
-    assert np.array_equal(whole, np.concatenate([b for _, b in mining._Shared(sentences, {"w3": 2.0})]))
+    assert np.array_equal(whole, np.concatenate([b for _, b in mining._Shared(sentences)]))
+
+
+def test_biased_summary(spark):
+    from textloom.operators import mining
+
+    text = ".".join(["the red house on a hill", "a red cat and the dog", "some dog on the hill", "nothing in common", "the red dog"])
+    s = [x for x in text.split(".") if len(x) >= 12]
+    score = {}
+    for i, a in enumerate(s):
+        score[i] = 0.0
+        for b in s[i + 1 :]:
+            both = len({"red"} & set(a.split())) + len({"red"} & set(b.split()))
+            score[i] += (len(set(a.split()) & set(b.split())) * (1 + (3 * both) ** 2.0 / len(a) ** 0.64)) ** 2.6
+        score[i] /= len(a) ** 0.75
+    got = mining.summarise(spark.createDataFrame([(1, text)], "doc_id long, text string"), bias=("red",)).collect()
+    want = sorted((i for i in score if score[i] > 0), key=lambda i: (-score[i], i))[:3]
+    assert [(r.sentence_no, round(r.score, 4)) for r in got] == [(i, round(score[i], 4)) for i in want]
 
 
 def test_greedy_batches(spark):

@@ -37,19 +37,15 @@ DENSE = 4_000_000
 
 
 class _Shared:
-    """How many words, weighted, each sentence shares with all others, sentence by sentence.
+    """How many words each sentence shares with all others, sentence by sentence.
 
     Memory is linear in the text: a dense matrix only up to DENSE cells.
     """
 
-    def __init__(self, sentences: list[tuple[int, str]], weights: dict[str, float] | None = None):
+    def __init__(self, sentences: list[tuple[int, str]]):
         vocabulary: dict[str, int] = {}
         self.ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in set(s.split())], np.int64) for _, s in sentences]
         self.n = len(sentences)
-        self.weight = np.ones(len(vocabulary), np.float32)
-        for w, x in (weights or {}).items():
-            if w in vocabulary:
-                self.weight[vocabulary[w]] = x
         self.dense = self.holders = None
         if self.n * len(vocabulary) <= DENSE:
             self.dense = np.zeros((self.n, len(vocabulary)), np.float32)
@@ -63,20 +59,20 @@ class _Shared:
     def __iter__(self):
         """(first sentence, counts with all sentences) in blocks of rows."""
         if self.dense is not None:
-            right = (self.dense * self.weight).T
             for a in range(0, self.n, 256):
-                yield a, self.dense[a : a + 256] @ right
+                yield a, self.dense[a : a + 256] @ self.dense.T
         else:
             for i, words in enumerate(self.ids):
                 row = np.zeros((1, self.n), np.float32)
                 for w in words.tolist():
-                    row[0, self.holders[w]] += self.weight[w]
+                    row[0, self.holders[w]] += 1
                 yield i, row
 
 
 def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top_n: int = 3, length_penalty: float = 0.75, density: float = 2.6, bias: tuple[str, ...] = (), bias_strength: float = 2.0, low: int = 12, high: int = 169) -> DataFrame:
     """(doc_id, sentence_no, score): the top_n sentences of each text, by the words that they share with the
-    sentences after them; words of `bias` count bias_strength times."""
+    sentences after them. With words of `bias`, what two sentences share counts the more, the more of those
+    words they hold: 1 + (3 * both's number of them) ** bias_strength / bytes ** 0.64 times."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -88,7 +84,11 @@ def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                     continue
                 size = np.array([len(x.encode()) for _, x in s], float)
                 score = np.zeros(len(s))
-                for a, block in _Shared(s, dict.fromkeys(bias, bias_strength)):
+                held = np.array([len(set(bias) & set(x.split())) for _, x in s], float)
+                for a, block in _Shared(s):
+                    if bias:
+                        mine = slice(a, a + len(block))
+                        block = block * (1 + (3 * (held[mine, None] + held[None, :])) ** bias_strength / size[mine, None] ** 0.64)
                     after = np.arange(len(s))[None, :] > np.arange(a, a + len(block))[:, None]
                     score[a : a + len(block)] = (np.where(after, block, 0).astype(float) ** density).sum(1)
                 score /= size**length_penalty
@@ -99,6 +99,28 @@ def summarise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, sentence_no long, score double")
 
 
+def sentence_connections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: int = 12, high: int = 169) -> DataFrame:
+    """(doc_id, i, j, shared): for sentences i < j of a text that share words, the number of those words.
+
+    The result is quadratic in a text's sentences, as its definition is; memory is linear, since sentences
+    are taken in blocks.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                s = _sentences(t, low, high)
+                at = np.array([k for k, _ in s], np.int64)
+                for a, block in _Shared(s) if len(s) > 1 else ():
+                    i, j = np.nonzero(block)
+                    i, j = (x[j > i + a] for x in (i, j))
+                    if len(i):
+                        yield pd.DataFrame({"doc_id": pd.Series([d] * len(i), dtype=object if d is None else None), "i": at[i + a], "j": at[j], "shared": block[i, j].astype(np.int64)})
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, i long, j long, shared long")
+
+
 def search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", top_n: int = 3, low: int = 101) -> DataFrame:
     """(doc_id, sentence_no, score): the top_n sentences of each text for a query: over the sentences that
     share a word with it, (words shared with the query + 1)^3, divided by its own bytes."""

@@ -657,6 +657,13 @@ def search(spark, d):
     return M.search(t(spark, d, "documents"), "the thing of and").select("doc_id", "sentence_no", F.round("score", 6).alias("score"))
 
 
+@query("""WITH s AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS s FROM (SELECT doc_id, string_split(text, '.') AS x FROM documents)), k AS (SELECT * FROM s WHERE strlen(s) BETWEEN 12 AND 169),
+ w AS (SELECT DISTINCT doc_id, i, unnest(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) AS word FROM k), c AS (SELECT a.doc_id, a.i, b.i AS j, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i GROUP BY ALL)
+ SELECT doc_id, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS shared FROM c GROUP BY doc_id""")
+def sentence_connections(spark, d):
+    return M.sentence_connections(t(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum("shared").alias("shared"))
+
+
 @query()
 def word_align(spark, d):
     return M.word_align(_nations(spark, d))
