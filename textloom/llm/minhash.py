@@ -181,16 +181,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _linked(store: Stored, docs: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:
     """(v, c): the components of the vertices that have confirmed links."""
     levels = [f"n{d}" for d in range(DEPTH)]
-    rows = vertices.select("rep", "sig").mapInArrow(_paths, "rep long, " + ", ".join(f"{c} long" for c in levels))
+    rows = store.keep(vertices.select("rep", "sig").mapInArrow(_paths, "rep long, " + ", ".join(f"{c} long" for c in levels)))
     pairs = None
     for d, c in enumerate(levels):
-        rows = store.keep(rows)
-        sizes = rows.groupBy(c).agg(F.count("*").alias("size")).filter("size > 1")
-        sized = rows.join(sizes, c)
+        # both sides of the join are written first, so that it reads them from exchanges only and a node with
+        # very many vertices can be split; the joined rows are read twice, by the pairs and by the next level
+        sizes = store.keep(rows.groupBy(c).agg(F.count("*").alias("size")).filter("size > 1"))
+        sized = store.keep(rows.drop("size").join(sizes, c).select("rep", *levels[d:], "size"))
+        if d == 0:
+            store.drop(rows)
+        store.drop(sizes)
         small = sized.filter(F.col("size") <= NODE_SIZE).select(F.col(c).alias("node"), "rep")
         new = small.select("node", F.col("rep").alias("a")).join(small.select("node", F.col("rep").alias("b")), "node").filter("a < b").select("a", "b")
         pairs = new if pairs is None else pairs.unionByName(new)
-        rows = sized.filter(F.col("size") > NODE_SIZE).select("rep", *levels[d:])
+        rows = sized.filter(F.col("size") > NODE_SIZE)
     crowd = rows.select("rep", F.col(levels[-1]).alias("node"))
     crowd = store.keep(crowd.join(crowd.groupBy("rep").agg(F.count("*").alias("degree")), "rep"))
     crowded = not crowd.isEmpty()
