@@ -169,6 +169,15 @@ def test_lines_by_definition(spark):
         assert got[n].text == want, n
 
 
+def test_lines_of_a_leaf_with_two_templates(spark):
+    line = lambda i: f"read this long line about {'red' if i % 2 else 'blue'} and then some more of it"
+    texts = [f"start {a}\n{line(i)}\nend {a}" for i, a in enumerate("uvwx")]
+    # three quarters of the words stand in four documents, in two wordings of two documents each
+    got = {r.doc_id: r.text for r in lines.without_recurring_lines(frame(spark, texts)).collect()}
+    assert got == {i: f"start {a}\nend {a}" if i else texts[0] for i, a in enumerate("uvwx")}
+    assert all(r.n_dropped == 0 for r in lines.without_recurring_lines(frame(spark, texts[:3])).collect())
+
+
 def test_lines_with_clashing_columns_and_a_very_long_text(spark):
     long = "\n".join(f"line {chr(97 + i % 26)}{i}x of a long text" for i in range(20_000))
     rows = [(1, long, 5, "a"), (None, "odd", 6, "b"), (1, "other text", 7, "c")]

@@ -59,8 +59,10 @@ def dropped_lines(docs: DataFrame, min_contexts: int = 4) -> DataFrame:
     store = Stored(docs.sparkSession)
     rows = store.keep(parsed(docs))
     exact = store.keep(_recurring(rows, min_contexts))
-    # leaves with several templates get those with one residue class of positions left open
-    several = rows.groupBy("leaf", "t1").agg(F.lit(1).alias("x")).groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_contexts).select("leaf")
+    # leaves with several templates, be it two, get those with one residue class of positions left open;
+    # in fewer lines than min_contexts nothing recurs
+    several = rows.filter(F.size("variants") > 0).groupBy("leaf", "t1", "t2").agg(F.count("*").alias("m")).groupBy("leaf").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+    several = several.filter((F.col("n") > 1) & (F.col("m") >= min_contexts)).select("leaf")
     # written, so that the join reads both sides from exchanges and a leaf with very many lines can be split
     several = store.keep(several)
     loose = rows.filter(F.size("variants") > 0).join(several, "leaf", "left_semi")
