@@ -23,9 +23,14 @@ DEPTH, STRIDE, LEAST = 4, 4, 8
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line's words with variable fields replaced, between single spaces."""
-    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^\s0-9]*[0-9]\S*", FIELD)).otherwise(line)
+def _fields(line: Column) -> Column:
+    """The line with variable fields replaced."""
+    # each word is looked at once
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(line)
+
+
+def _even(line: Column) -> Column:
+    """The line's words between single spaces."""
     # most lines have single spaces already
     uneven = reduce(lambda a, x: a | F.contains(line, F.lit(x)), ["\t", "\r", "\f", "\x0b"], F.contains(line, F.lit("  ")))
     return F.trim(F.when(uneven, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
@@ -39,8 +44,10 @@ def _class(j: int) -> Column:
 def parsed(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, copy, line_no, t1, t2, leaf, variants) for each line with a word; copies of a text share copy."""
     rows = docs.select("doc_id", "uid", F.split("text", "\n").alias("ls"))
-    rows = rows.withColumn("copy", F.xxhash64(F.filter("ls", lambda x: F.trim(x) != ""))).withColumn("ls", F.transform("ls", _masked))
-    rows = rows.select("doc_id", "uid", "copy", F.posexplode("ls").alias("line_no", "line")).filter("line <> ''")
+    rows = rows.withColumn("copy", F.xxhash64(F.filter("ls", lambda x: F.trim(x) != "")))
+    # one after the other, or the first would be worked out for each use that the second makes of it
+    rows = rows.select("doc_id", "uid", "copy", F.posexplode("ls").alias("line_no", "line")).filter(F.col("line").rlike(r"\S"))
+    rows = rows.withColumn("line", _fields(F.col("line"))).withColumn("line", _even(F.col("line")))
     rows = rows.select("doc_id", "uid", "copy", "line_no", F.xxhash64("line").alias("t1"), F.xxhash64("line", F.lit(1)).alias("t2"), F.split("line", " ").alias("w"))
     leaf = F.xxhash64(F.size("w"), F.slice("w", 1, DEPTH))
     rows = rows.select("doc_id", "uid", "copy", "line_no", "t1", "t2", leaf.alias("leaf"), F.when(F.size("w") >= LEAST, F.array(*(_class(j) for j in range(STRIDE)))).alias("cs"))
@@ -93,12 +100,13 @@ def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: s
     uid = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.withColumn("__uid", uid)
     rows = rows.join(gone, rows[id_col].eqNullSafe(gone["__id"]) & (rows["__uid"] == gone["__uid_of"]), "left")
-    ls = F.split(text_col, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))
+    # split once, not for each line that stays
+    rows = rows.withColumn("__ls", F.split(text_col, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__ls") - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__ls", i)), "\n"))
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    rows = rows.withColumns({"n_lines": n(ls), "n_dropped": n(F.col("__gone"))})
-    return rows.withColumn(text_col, text).drop("__uid", "__id", "__uid_of", "__gone")
+    rows = rows.withColumns({"n_lines": n("__ls"), "n_dropped": n("__gone")})
+    return rows.withColumn(text_col, text).drop("__uid", "__id", "__uid_of", "__gone", "__ls")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
